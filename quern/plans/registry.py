@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quern.plans import data_queries
+from quern.plans import data_queries, graph_queries, text_queries
 
-QUERIES = {**data_queries.QUERIES}
-ORACLE = {**data_queries.ORACLE}
-FLAGSHIP = QUERIES["p1_found"]
+QUERIES = {**data_queries.QUERIES, **text_queries.QUERIES, **graph_queries.QUERIES}
+ORACLE = {**data_queries.ORACLE, **text_queries.ORACLE, **graph_queries.ORACLE}
+FLAGSHIP = QUERIES["hybrid_retrieval"]
