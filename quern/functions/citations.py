@@ -124,7 +124,7 @@ def context_blocks(context: Column) -> Column:
     """Blocks of a context text, in order: array of (label, body). Text before the first label is left out."""
     parts = F.filter(F.split(F.concat(F.lit("\n"), F.coalesce(context, F.lit(""))), r"\n(?=--- )"), lambda p: p.startswith("--- "))
     label = lambda p: F.regexp_replace(F.regexp_extract(p, r"^--- ([^\n]*)", 1), r"\s*---\s*$", "")
-    return F.transform(parts, lambda p: F.struct(label(p).alias("label"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
+    return F.transform(parts, lambda p: F.struct(label(p).alias("label"), _strip(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
 
 
 def cited_in_context(c: Column, context: Column) -> Column:

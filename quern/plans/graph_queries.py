@@ -158,11 +158,12 @@ def sentinel_migration(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT component_id, list_sort(list(DISTINCT {'effective_date': a.effective_date, 'amending_norm': a.amending_norm})) AS l FROM (SELECT component_id, unnest(amendments) AS a FROM text_unit) WHERE a.amending_norm IS NOT NULL GROUP BY 1)
-SELECT t.id AS unit_id, t.component_id, coalesce(l, []) AS amendments FROM text_unit t LEFT JOIN a USING (component_id)""")
+SELECT t.id AS unit_id, t.component_id, coalesce(array_to_string([concat_ws(' ', x.effective_date, x.amending_norm) FOR x IN l], '; '), '') AS amendments FROM text_unit t LEFT JOIN a USING (component_id)""")
 def component_amendments(spark, sf_dir):
     u = table(spark, sf_dir, "text_unit")
     a = u.select("component_id", F.explode("amendments").alias("a")).select("component_id", "a.amending_norm", "a.effective_date")
-    return graph.amendments_of(u.select(F.col("id").alias("unit_id"), "component_id"), a)
+    told = F.array_join(F.transform("amendments", lambda x: F.concat_ws(" ", x["effective_date"], x["amending_norm"])), "; ")
+    return graph.amendments_of(u.select(F.col("id").alias("unit_id"), "component_id"), a).withColumn("amendments", told)
 
 
 _SIDE = "SELECT result_id AS q, generate_subscripts({c}, 1) - 1 AS i, unnest({c}) AS c FROM eval_result"

@@ -268,10 +268,11 @@ def distinct_questions(spark, sf_dir):
     return corpus.distinct_questions(table(spark, sf_dir, "train_sample"))
 
 
-@query("""SELECT sample_id, [{'role': 'system', 'content': 'Trả lời theo văn bản.'}, {'role': 'user', 'content': concat_ws(chr(10) || chr(10), context, 'Câu hỏi: ' || question)}, {'role': 'assistant', 'content': answer}] AS messages
-FROM train_sample WHERE answer IS NOT NULL AND question IS NOT NULL""")
+@query("""WITH t AS (SELECT sample_id, unnest(['system', 'user', 'assistant']) AS role, unnest(['Trả lời theo văn bản.', concat_ws(chr(10) || chr(10), context, 'Câu hỏi: ' || question), answer]) AS content
+  FROM train_sample WHERE answer IS NOT NULL AND question IS NOT NULL) SELECT sample_id, role, md5(content) AS content_md5 FROM t""")
 def chat_records(spark, sf_dir):
-    return corpus.chat_records(table(spark, sf_dir, "train_sample"), "Trả lời theo văn bản.")
+    m = corpus.chat_records(table(spark, sf_dir, "train_sample"), "Trả lời theo văn bản.").select("sample_id", F.explode("messages").alias("m"))
+    return m.select("sample_id", "m.role", F.md5("m.content").alias("content_md5"))
 
 
 @query("""SELECT cand_id, contains(lower(snippet), lower(term)) AS grounded FROM candidate WHERE term IS NOT NULL AND snippet IS NOT NULL""")

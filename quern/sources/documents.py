@@ -115,7 +115,7 @@ def leaf_units(docs: DataFrame, key: str = "norm_id", body: str = "body", strict
     filled = lines.withColumns(cols).withColumn("at", F.last(F.when(F.col("level").isNotNull(), F.col("pos")), True).over(w))
     names = [F.col("norm_id")]
     for n in range(2, 6):
-        shallower = F.greatest(F.lit(-1), *[F.coalesce(F.col(f"p{m}"), F.lit(-1)) for m in range(2, n)])
+        shallower = F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"p{m}"), F.lit(-1)) for m in range(2, n)])
         names.append(F.when(F.col(f"p{n}") > shallower, F.col(f"h{n}")))
     path = F.filter(F.array(*names), lambda x: x.isNotNull())
     texts = filled.withColumn("path", path).where(F.col("level").isNull() & (F.length("line") > 0))
@@ -136,8 +136,10 @@ def read_envelopes(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_json_lenient(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Records of JSON lines that can be read, and the lines that can't."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select("_corrupt")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    read = lines.select("value", F.from_json("value", f"{schema}, _corrupt string", options).alias("r"))
+    return read.where("r._corrupt is null").select("r.*").drop("_corrupt"), read.where("r._corrupt is not null").select(F.col("value").alias("_corrupt"))
 
 
 def grouped_questions(lines: DataFrame) -> DataFrame:
