@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quern.session import spread
+
 #: Codes of tokens: brackets, delimiters, strings, other scalars, and the edge of a text.
 OPEN_OBJ, CLOSE_OBJ, OPEN_ARR, CLOSE_ARR, COLON, COMMA, STRING, SCALAR, EDGE = range(9)
 _PUNCT = np.full(256, -1, np.int8)
@@ -237,7 +239,7 @@ def json_nodes(df: DataFrame, key: str, payload: str) -> DataFrame:
                 names=["row_key", "node_id", "parent_id", "depth", "name", "pos", "kind", "value"],
             )
 
-    return df.selectExpr(f"cast(`{key}` as string) as k", f"`{payload}` as p").mapInArrow(run, NODE_SCHEMA)
+    return spread(df.selectExpr(f"cast(`{key}` as string) as k", f"`{payload}` as p")).mapInArrow(run, NODE_SCHEMA)
 
 
 def _f1_bp(text: str | None) -> int:
@@ -295,4 +297,4 @@ def citation_rows(df: DataFrame, key: str = "raw_id", payload: str = "payload")
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["raw_id", "result_pos", "side", "cite_pos", "van_ban", "khoan", "f1_bp"])
 
-    return df.selectExpr(f"cast(`{key}` as bigint) as k", f"`{payload}` as p").mapInArrow(run, CITATION_SCHEMA)
+    return spread(df.selectExpr(f"cast(`{key}` as bigint) as k", f"`{payload}` as p")).mapInArrow(run, CITATION_SCHEMA)

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import estimate_tokens, slug_tokens, word_tokens
+from quern.session import spread
 
 RRF_K = 60
 RARITY_WEIGHT = 1.5
@@ -21,6 +23,8 @@ MAX_PER_TIER = {1: 8, 2: 8, 3: 6, 4: 8}
 MAX_OTHER_TIER = 25
 #: Most query vectors held by every task at once.
 QUERY_BLOCK = 2048
+#: Documents scored at once by a task.
+SCORED_AT_ONCE = 500
 
 
 def pool_size(k: int) -> int:
@@ -42,6 +46,19 @@ def top_k(scored: DataFrame, k: int, query: str = "q", score: str = "score", tie
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _keep_best(best: pd.DataFrame | None, ids: list, items: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame | None:
+    """A task's k best rows per query so far, with those of a batch; ties go to the lesser item."""
+    if not len(ids) or not len(items):
+        return best
+    take = min(k, scores.shape[1])
+    # all that tie with the k-th stay in, the ranking settles them
+    kth = np.partition(scores, -take, axis=1)[:, -take]
+    r, c = np.nonzero(scores >= kth[:, None])
+    part = pd.DataFrame({"q": np.array(ids, dtype=object)[r], "item": items[c], "score": scores[r, c]})
+    best = part if best is None else pd.concat([best, part])
+    return best.sort_values(["q", "score", "item"], ascending=[True, False, True]).groupby("q").head(k)
+
+
 def dense_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine top k of unit vectors: ``q, item, score, rank``. ``queries(q, vec)``, ``items(item, vec)``.
 
@@ -69,24 +86,17 @@ def dense_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY
                 b = b[b["vec"].map(lambda v: v is not None and len(v) == m.shape[1])]
                 if not len(b) or not len(qs):
                     continue
-                s = m @ np.stack(b["vec"].to_numpy()).astype(float).T
-                item = b["item"].to_numpy()
-                # all that tie with the k-th stay in, the final ranking settles them
-                kth = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
-                r, c = np.nonzero(s >= kth[:, None] - 1e-12)
-                part = pd.DataFrame({"q": np.array(qs, dtype=object)[r], "item": item[c], "score": s[r, c]})
-                best = part if best is None else pd.concat([best, part])
-                if len(best) > 4 * k * len(qs):
-                    best = best.sort_values(["q", "score", "item"], ascending=[True, False, True]).groupby("q").head(k)
+                s = np.round(m @ np.stack(b["vec"].to_numpy()).astype(float).T, 6)
+                best = _keep_best(best, qs, b["item"].to_numpy(), s, k)
             if best is not None:
-                yield best.sort_values(["q", "score", "item"], ascending=[True, False, True]).groupby("q").head(k)
+                yield best
 
-        return items.where("item is not null and vec is not null").select("item", "vec").mapInPandas(run, f"q {kq}, item {ki}, score double")
+        return spread(items.where("item is not null and vec is not null").select("item", "vec")).mapInPandas(run, f"q {kq}, item {ki}, score double")
 
     out = one(0)
     for i in range(1, blocks):
         out = out.unionByName(one(i))
-    return top_k(out.withColumn("score", F.round("score", 6)), k)
+    return top_k(out, k)
 
 
 def threshold_or_best(ranked: DataFrame, least: float = 0.3) -> DataFrame:
@@ -108,22 +118,65 @@ def bm25_index(docs: DataFrame, item: str = "item", text: str = "text") -> tuple
     return postings, stats
 
 
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, block: int = QUERY_BLOCK) -> DataFrame:
     """BM25 top k: ``q, item, score, rank``. ``queries(q, text)``, ``docs(item, text)``; repeated query words count repeatedly.
 
-    Only terms some query has are posted: the terms of the queries filter the tokens before they are counted.
+    Two passes over the texts. The first counts in how many documents each query term stands (aggregated partially, one row
+    per term and task). In the second every task scores its documents against a block of the stated queries and
+    emits k candidates per query, so pairs of queries and documents are never shuffled. Scores of 0 don't count.
     """
-    asked = queries.select("q", F.explode(word_tokens(F.col("text"))).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("qf"))
-    toks = docs.select("item", word_tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    totals = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).withColumn("one", F.lit(1))
-    terms = asked.select("term").distinct()
-    postings = toks.select("item", "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("item", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("one", F.lit(1)).join(F.broadcast(totals), "one").drop("one")
-    idf = df.select("term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
-    tf = F.col("tf")
-    part = F.col("qf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = postings.join(asked.join(idf, "term"), "term").groupBy("q", "item").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scores.where("score > 0"), k)
+    q = queries.where("q is not null").select("q", word_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    n = q.count()
+    blocks = max(1, -(-n // block))
+    texts = spread(docs.where("item is not null").select("item", F.lower(F.coalesce("text", F.lit(""))).alias("text")))
+    terms = q.select(F.explode("t").alias("term")).distinct()
+    toks = texts.select(word_tokens(F.col("text")).alias("t"))
+    total = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
+    found = toks.select(F.explode(F.array_distinct("t")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    kq, ki = dict(queries.dtypes)["q"], dict(docs.dtypes)["item"]
+    n_docs, avgdl = total["n"], total["avgdl"] or 1.0
+
+    def one(i: int) -> DataFrame:
+        rows = q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect()
+        asked = found.join(q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).select(F.explode("t").alias("term")).distinct(), "term", "left_semi")
+        df = {r["term"]: r["df"] for r in asked.collect()}
+        shared = queries.sparkSession.sparkContext.broadcast(([r["q"] for r in rows], [r["t"] for r in rows], df))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, asked_terms, dfs = shared.value
+            place = {t: j for j, t in enumerate(dfs)}
+            idf = np.array([np.log1p((n_docs - f + 0.5) / (f + 0.5)) for f in dfs.values()])
+            weight = np.zeros((len(ids), len(place)))
+            for j, ts in enumerate(asked_terms):
+                for t in ts:
+                    if t in place:
+                        weight[j, place[t]] += 1
+            weight *= idf if len(idf) else 1
+            word = regex.compile(r"[\p{L}\p{N}_]+")
+            best: pd.DataFrame | None = None
+            for whole in batches:
+                for lo in range(0, len(whole), SCORED_AT_ONCE):
+                    part = whole.iloc[lo : lo + SCORED_AT_ONCE]
+                    tf = np.zeros((len(part), len(place)))
+                    dl = np.zeros(len(part))
+                    for d, text in enumerate(part["text"]):
+                        w = word.findall(text)
+                        dl[d] = len(w)
+                        at = [p for p in map(place.get, w) if p is not None]
+                        if at:
+                            tf[d] = np.bincount(at, minlength=len(place))
+                    norm = k1 * (1 - b + b * dl / avgdl)
+                    s = np.round(weight @ (tf * (k1 + 1) / (tf + norm[:, None] + 1e-300)).T, 6)
+                    best = _keep_best(best, ids, part["item"].to_numpy(), s, k)
+            if best is not None and len(best):
+                yield best[best["score"] > 0]
+
+        return texts.mapInPandas(run, f"q {kq}, item {ki}, score double")
+
+    out = one(0)
+    for i in range(1, blocks):
+        out = out.unionByName(one(i))
+    return top_k(out, k)
 
 
 def keyword_overlap(queries: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
@@ -216,7 +269,7 @@ def fixed_chunks(docs: DataFrame, item: str, text: str, size: int = 512, overlap
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap less than it")
     step = size - overlap
-    t = docs.select(F.col(item).alias("item"), F.regexp_replace(F.col(text), r"^\s+|\s+$", "").alias("t")).where(F.length("t") > 0)
+    t = spread(docs.select(F.col(item).alias("item"), F.col(text).alias("t"))).select("item", F.regexp_replace("t", r"^\s+|\s+$", "").alias("t")).where(F.length("t") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.length("t") - size) / step)).cast("int")
     at = t.select("item", "t", F.explode(F.sequence(F.lit(0), last)).alias("i"))
     cut = at.select("item", "i", F.regexp_replace(F.substr(F.col("t"), F.col("i") * step + 1, F.lit(size)), r"^\s+|\s+$", "").alias("chunk")).where(F.length("chunk") > 0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators import metrics, stats
+from quern.session import spread
 from quern.streaming import traces
 from quern.tables import table
 
@@ -33,7 +34,7 @@ def _r(spark, sf_dir) -> DataFrame:
 def citation_scores(spark, sf_dir):
     p, g = F.col("pred_citations"), F.col("ground_truth_citations")
     levels = [metrics.citation_score(p, g, lv).alias(lv) for lv in metrics.LEVELS]
-    return _r(spark, sf_dir).select("result_id", *levels).select("result_id", *[F.col(f"{lv}.{f}").alias(f"{lv}_{f}") for lv in metrics.LEVELS for f in ("precision", "recall", "f1", "match_count")])
+    return spread(_r(spark, sf_dir).select("result_id", p, g)).select("result_id", *levels).select("result_id", *[F.col(f"{lv}.{f}").alias(f"{lv}_{f}") for lv in metrics.LEVELS for f in ("precision", "recall", "f1", "match_count")])
 
 
 _COUNTS = """p AS (SELECT result_id, lower(trim(c.van_ban)) AS k, count(*) AS n FROM (SELECT result_id, unnest(pred_citations) AS c FROM eval_result) GROUP BY ALL),

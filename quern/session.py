@@ -34,3 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has too few splits for them, as a small table in one file; else unchanged.
+
+    For work that costs far more per row than moving the row. Large inputs have splits enough and are never moved.
+    """
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if splits * 2 <= cores else df
