@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.words import words
+from quern.session import spread
 
 #: Consecutive words of an item that count as a leak.
 WINDOW = 10
@@ -215,7 +216,7 @@ def leaks(texts: DataFrame, items: DataFrame, max_edits: int = 0, recall: float
                     rows = np.searchsorted(np.array(owner_at), at, "right") - 1
                     yield pd.DataFrame({"sample_id": b["sample_id"].to_numpy()[rows], "item_id": [index.ids[h[1]] for h in hits]})
 
-        return texts.where("text is not null").select("sample_id", "text").mapInPandas(run, f"sample_id {kind}, item_id string")
+        return spread(texts.where("text is not null").select("sample_id", "text")).mapInPandas(run, f"sample_id {kind}, item_id string")
 
     found = one(0)
     for k in range(1, blocks):

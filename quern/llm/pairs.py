@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.lookalikes import canonical
 from quern.llm.words import plain, words
+from quern.session import spread
 
 #: Bytes an answer may cost beyond its question, and a question beyond its answer, to be a copy.
 COPY_BYTES = 24
@@ -183,8 +184,7 @@ def train_terminal(df: DataFrame, answer: str) -> TerminalModel:
         yield pd.DataFrame([(c, False, n) for c, n in ends.items()] + [(c, True, n) for c, n in cuts.items()], columns=["context", "cut", "n"])
 
     rows = (
-        df.select(F.col(answer).alias("t"))
-        .where("t is not null")
+        spread(df.select(F.col(answer).alias("t")).where("t is not null"))
         .mapInPandas(count, "context string, cut boolean, n bigint")
         .groupBy("context", "cut")
         .agg(F.sum("n").alias("n"))
@@ -230,4 +230,4 @@ def broken_pairs(df: DataFrame, key: str = "result_id", question: str = "questio
 
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key).alias("key"), F.col(question).alias("q"), F.col(answer).alias("a"), F.coalesce(F.col(gap_type) == "negative", F.lit(False)).alias("neg"))
-    return rows.mapInPandas(run, f"key {kind}, defect string")
+    return spread(rows).mapInPandas(run, f"key {kind}, defect string")
