@@ -19,8 +19,8 @@ from quern.session import spread
 COPY_BYTES = 24
 #: A kind of end is taken for broken where broken answers explain at least this share of it.
 BROKEN_SHARE = 0.4
-#: Only kinds of end with this share of cuts tell the broken share; those under the lower share are never judged.
-COMMON, RARE = 0.02, 0.0001
+#: Kinds of end with less than this share of cuts are never judged.
+RARE = 0.0001
 
 # Words of placeholders and bare headings, without accents.
 PLACEHOLDERS = (
@@ -152,18 +152,22 @@ def cut_points(text: str, cuts: int = 8) -> list[str]:
 class TerminalModel:
     """Chance that a text with this end breaks off, from counts of real ends and of ends made by cutting.
 
-    Real ends are a mixture of complete and broken ones, and the broken share is at most what the context with the
-    fewest real ends per cut allows. A context is taken for broken where that share explains at least
-    ``least`` of its real ends.
+    Real ends are a mixture of complete and broken ones. The broken share is told by the kinds of end with the fewest
+    real ends per cut that together hold half of all cuts. A kind is taken for broken where that share explains
+    at least ``least`` of its real ends.
     """
 
-    def __init__(self, ends: dict[str, int], cuts: dict[str, int], least: float = BROKEN_SHARE, common: float = COMMON):
+    def __init__(self, ends: dict[str, int], cuts: dict[str, int], least: float = BROKEN_SHARE):
         n_ends, n_cuts = max(sum(ends.values()), 1), max(sum(cuts.values()), 1)
         ratio = {c: (ends.get(c, 0) / n_ends) / (n / n_cuts) for c, n in cuts.items()}
-        frequent = [r for c, r in ratio.items() if cuts[c] >= common * n_cuts]
-        self.share = min(frequent, default=0.0)
-        # a context never seen at real ends is broken too
-        self.broken = {c for c, r in ratio.items() if r * least <= self.share and cuts[c] > RARE * n_cuts}
+        held_ends = held_cuts = 0
+        for c in sorted(ratio, key=lambda c: (ratio[c], c)):
+            held_ends, held_cuts = held_ends + ends.get(c, 0), held_cuts + cuts[c]
+            if held_cuts * 2 >= n_cuts:
+                break
+        self.share = (held_ends / n_ends) / (held_cuts / n_cuts) if held_cuts else 0.0
+        # one real end is no evidence against, as little data has many kinds seen once; a kind never seen is broken too
+        self.broken = {c for c, n in cuts.items() if (max(ends.get(c, 0) - 1, 0) / n_ends) / (n / n_cuts) * least <= self.share and n > RARE * n_cuts}
 
     def breaks_off(self, text: str) -> bool:
         return terminal_context(text) in self.broken
