@@ -34,7 +34,7 @@ REFUSALS = (
     "khong du thong tin", "khong co du thong tin", "chua du thong tin", "khong the ket luan", "khong the ho tro", "khong the giup", "khong ho tro duoc", "khong the cung cap",
     "khong the thuc hien", "xin phep khong", "khong duoc phep", "khong dua ra y kien", "khong the dua ra", "khong the tu van", "ngoai kha nang", "ngoai pham vi", "nam ngoai",
     "can t help", "cannot help", "can not help", "can t answer", "cannot answer", "could not answer", "unable to", "not able to", "can t assist", "cannot assist",
-    "can t provide", "cannot provide", "i m sorry but", "no information", "not enough information", "i must decline", "i decline", "as an ai", "as a language model",
+    "can t provide", "cannot provide", "no information", "not enough information", "i must decline", "i decline", "as an ai", "as a language model",
     "je ne peux pas", "je suis desole", "impossible de repondre", "je ne suis pas en mesure",
 )
 # Phrases of politeness that add nothing to a refusal, without accents.
@@ -122,7 +122,9 @@ def is_refusal(text: str) -> bool:
         s = " ".join(re.findall(r"[^\W_]+", s))
         if not s:
             continue
-        if any(p in s for p in REFUSALS) and not re.search(r"\bnhung\b|\bbut (?:the|as)\b|\bnhu sau\b", s):
+        # what comes after "but" is what the sentence says
+        said = re.split(r"\b(?:nhung|but|mais)\b", s)[-1]
+        if any(p in said for p in REFUSALS) and not said.endswith("nhu sau"):
             hit = True
         elif not any(p in s for p in FILLERS):
             return False

@@ -34,6 +34,8 @@ def test_refusals(model):
     a = "Không tìm thấy căn cứ trong bộ văn bản hiện có. Mong bạn thông cảm."
     assert pairs.defects(Q, a, False, model) == ["refusal"] and pairs.defects(Q, a, True, model) == []
     assert pairs.defects(Q, "I cannot answer this question based on the material provided.", False, model) == ["refusal", "other_language"]
+    assert pairs.defects(Q, "Tôi rất tiếc nhưng không thể hỗ trợ yêu cầu này. Bạn có thể đặt câu hỏi khác.", False, model) == ["refusal"]
+    assert pairs.is_refusal("I'm sorry, but I can't help with that request.")
     partly = "Tôi không thể xác định mức phí cho từng hồ sơ, nhưng về trình tự thì có quy định như sau. " + FULL
     assert pairs.defects(Q, partly, False, model) == []
 
