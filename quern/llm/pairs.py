@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 import zstandard
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.lookalikes import canonical
-from quern.llm.words import plain, words
+from quern.llm.words import words
 from quern.session import spread
 
 #: Bytes an answer may cost beyond its question, and a question beyond its answer, to be a copy.
@@ -67,22 +69,29 @@ _QUOTE = re.compile("“[^”]*”?|«[^»]*»?|\"[^\"]*\"")
 _SENTENCE = re.compile(r"[.!?。！？\n]+")
 _LAST_MARK = re.compile(r"(?s).*(?:[!?。！？…:\n|]|[.](?!\d))")
 _SCRIPTS = (("zh", re.compile("[一-鿿]")), ("ja", re.compile("[぀-ヿ]")), ("ko", re.compile("[가-힣]")), ("ru", re.compile("[Ѐ-ӿ]")), ("el", re.compile("[Ͱ-Ͽ]")), ("th", re.compile("[฀-๿]")), ("ar", re.compile("[؀-ۿ]")))
-_LETTERS = re.compile(r"[^\W\d_]")
+#: Letters beyond the Latin alphabet and its marks.
+_FAR_LETTER = re.compile("[\u0370-\u1dff\u2c00-\uffff]")
+_MARKED = re.compile("[ạ-ỹẠ-ỸăđơưĂĐƠƯ]")
 _TOKEN = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+")
+_LEAD = re.compile(r"(?i)^\W*(?:câu hỏi|trả lời|hỏi|đáp|question|answer)\s*:")
+#: No placeholder has so many words.
+MOST_PLACEHOLDER_WORDS = 8
 
 
 def language(text: str) -> str:
     """Language of the text outside citations and quotes by script and dictionaries of frequent words; '' if it can't be told."""
     t = _QUOTE.sub(" ", _CITATION.sub(" ", text))
-    letters = len(_LETTERS.findall(t))
-    if not letters:
-        return ""
-    for name, rx in _SCRIPTS:
-        if len(rx.findall(t)) * 2 > letters:
-            return name
     tokens = _TOKEN.findall(t.lower())
-    n = Counter({k: sum(w in v for w in tokens) for k, v in _FUNCTION.items()})
-    marked = sum(1 for c in t if "Ạ" <= c <= "ỹ" or c in "ăđơưĂĐƠƯ")
+    if not tokens:
+        return ""
+    if _FAR_LETTER.search(t):
+        letters = sum(map(len, tokens))
+        for name, rx in _SCRIPTS:
+            if len(rx.findall(t)) * 2 > letters:
+                return name
+    n = Counter({k: sum(map(v.__contains__, tokens)) for k, v in _FUNCTION.items()})
+    marked = len(_MARKED.findall(t))
     vi = max(n.pop("vi") + marked / 2, n.pop("vi_bare") * (0.9 if not marked else 0.5))
     name, most = n.most_common(1)[0]
     if max(vi, most) < 1:
@@ -108,18 +117,18 @@ def is_empty(text: str | None) -> bool:
     """True for null, nothing but space and punctuation, a bare heading or a placeholder."""
     if text is None:
         return True
-    w = " ".join(words(text))
-    if not w and not re.search(r"[^\W_]", text) or w in PLACEHOLDERS:
-        return True
-    lines = [s for s in (x.strip() for x in text.split("\n")) if re.search(r"[^\W_]", s)]
-    return all(s.lstrip("> ").startswith("#") for s in lines)
+    if sum(1 for _ in islice(_WORD.finditer(text), MOST_PLACEHOLDER_WORDS)) < MOST_PLACEHOLDER_WORDS:
+        w = " ".join(words(text))
+        if not w and not _WORD.search(text) or w in PLACEHOLDERS:
+            return True
+    return all(s.lstrip("> ").startswith("#") for s in (x.strip() for x in text.split("\n")) if _WORD.search(s))
 
 
 def is_refusal(text: str) -> bool:
     """True if every sentence declines or is politeness, and at least one declines."""
     hit = False
-    for s in _SENTENCE.split(plain(_CITATION.sub(" ", text))):
-        s = " ".join(re.findall(r"[^\W_]+", s))
+    for sentence in _SENTENCE.split(_CITATION.sub(" ", text)):
+        s = " ".join(words(sentence))
         if not s:
             continue
         # what comes after "but" is what the sentence says
@@ -199,13 +208,23 @@ def train_terminal(df: DataFrame, answer: str) -> TerminalModel:
     return TerminalModel({r["context"]: r["n"] for r in rows if not r["cut"]}, {r["context"]: r["n"] for r in rows if r["cut"]})
 
 
+@lru_cache(maxsize=10_000)
+def _question(question: str) -> tuple[list[str], str]:
+    """Words and language of a question; questions are asked again and again."""
+    q = canonical(question)
+    return words(q), language(q)
+
+
 def defects(question: str | None, answer: str | None, expects_refusal: bool, model: TerminalModel) -> list[str]:
     """All defects of a pair. An empty answer has no other; a copied or refusing one isn't truncated."""
     if is_empty(answer):
         return ["empty"]
-    q, a = canonical(question or ""), canonical(answer)
+    asked_words, asked = _question(question or "")
+    a = canonical(answer)
     found = []
-    copied = copies(words(q), [w for w in words(re.sub(r"(?i)^\W*(?:câu hỏi|trả lời|hỏi|đáp|question|answer)\s*:", "", a))])
+    # an answer of another size is no copy
+    near = len(a) <= 4 * len(question or "") + 80
+    copied = near and copies(asked_words, words(_LEAD.sub("", a)))
     if copied:
         found.append("copies_question")
     refused = is_refusal(a)
@@ -213,8 +232,8 @@ def defects(question: str | None, answer: str | None, expects_refusal: bool, mod
         found.append("refusal")
     if not copied and not refused and model.breaks_off(a):
         found.append("truncated")
-    spoken, asked = language(a), language(q)
-    if spoken and asked and spoken != asked:
+    spoken = language(a) if asked else ""
+    if spoken and spoken != asked:
         found.append("other_language")
     return found
 
