@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Items that are partitioned together; more give fuller containers and cost more.
-ITEMS_PER_BLOCK = 512
+ITEMS_PER_BLOCK = 1024
 #: Most rows a table of container kinds may have.
 MAX_SPECS = 1000
 
@@ -51,31 +51,39 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def _mend(windows: list[list[int]], sizes: list[int], k: int, capacity: int) -> list[list[int]] | None:
-    """Moves the fewest small items of windows over capacity to where they fit best; None where some fit nowhere."""
-    sums = [sum(sizes[i] for i in w) for w in windows]
-    loose: list[int] = []
-    for w, items in enumerate(windows):
-        excess = sums[w] - capacity
-        if excess > 0:
-            items.sort(key=sizes.__getitem__)
-            at = next((j for j, i in enumerate(items) if sizes[i] >= excess), len(items) - 1)
-            loose.append(items.pop(at))
-            sums[w] -= sizes[loose[-1]]
-            while sums[w] > capacity:
-                loose.append(items.pop())
-                sums[w] -= sizes[loose[-1]]
-    windows += [[] for _ in range(k - len(windows))]
-    sums += [0] * (k - len(sums))
-    room = sorted((capacity - s, w) for w, s in enumerate(sums))
-    for i in sorted(loose, key=sizes.__getitem__, reverse=True):
+def _best_fit(items: list[int], sizes: list[int], k: int, capacity: int) -> list[list[int]] | None:
+    """Items, largest first, each into the fullest of k windows it fits; None where one fits nowhere."""
+    out: list[list[int]] = [[] for _ in range(k)]
+    room = [(capacity, w) for w in range(k)]
+    for i in sorted(items, key=sizes.__getitem__, reverse=True):
         at = bisect_left(room, (sizes[i], -1))
         if at == len(room):
             return None
         free, w = room.pop(at)
-        windows[w].append(i)
+        out[w].append(i)
         insort(room, (free - sizes[i], w))
-    return windows
+    return out
+
+
+def _mend(windows: list[list[int]], sizes: list[int], k: int, capacity: int) -> list[list[int]] | None:
+    """Windows over capacity are refilled together with the emptiest others, as few as do; None where all of them don't.
+
+    Differencing spreads the free space thinly over all windows; refilling a few by best fit gathers it where it is needed.
+    """
+    sums = [sum(sizes[i] for i in w) for w in windows]
+    over = [w for w, s in enumerate(sums) if s > capacity]
+    if not over:
+        return windows
+    rest = sorted((w for w, s in enumerate(sums) if s <= capacity), key=sums.__getitem__)
+    n = len(over)
+    while True:
+        pool = over + rest[:n]
+        new = _best_fit([i for w in pool for i in windows[w]], sizes, len(pool) + k - len(windows), capacity)
+        if new is not None:
+            return [windows[w] for w in rest[n:]] + new
+        if n >= len(rest):
+            return None
+        n *= 2
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
