@@ -42,10 +42,12 @@ def leaking_names(docs: DataFrame, held_out: DataFrame) -> DataFrame:
     """Documents whose name equals or contains a held-out name, after normalising: ``name, held_out``.
 
     A held-out name of m words can only be contained at one of the name's runs of m words, so runs are joined by equality.
+    The different numbers of words, at most as many as the longest held-out name has words, are known to the plan.
     """
     h = held_out.select(F.col("name").alias("held_out"), word_tokens(F.col("name")).alias("w")).where(F.size("w") > 0).select("held_out", F.size("w").alias("m"), F.array_join("w", " ").alias("k")).distinct()
-    sizes = h.select("m").distinct()
-    d = docs.select("name", word_tokens(F.col("name")).alias("w")).withColumn("one", F.lit(1)).join(F.broadcast(sizes.withColumn("one", F.lit(1)).limit(1000)), "one").where(F.size("w") >= F.col("m"))
+    sizes = sorted(r["m"] for r in h.select("m").distinct().collect())
+    each = F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"))
+    d = docs.select("name", word_tokens(F.col("name")).alias("w"), each.alias("m")).where(F.size("w") >= F.col("m"))
     runs = d.select("name", "m", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1), lambda i: F.array_join(F.slice("w", i, F.col("m")), " "))).alias("k"))
     return runs.join(h, ["m", "k"]).select("name", "held_out").distinct()
 

@@ -111,11 +111,10 @@ def bm25_index(docs: DataFrame, item: str = "item", text: str = "text") -> tuple
     frequent term costs one row per task. Null texts are documents without terms.
     """
     toks = docs.select(F.col(item).alias("item"), word_tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    totals = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    total = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     postings = toks.select("item", "dl", F.explode("t").alias("term")).groupBy("item", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one").drop("one")
-    stats = df.select("term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
-    return postings, stats
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return postings, df.select("term", F.log1p((total["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.lit(total["avgdl"]).alias("avgdl"))
 
 
 def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, block: int = QUERY_BLOCK) -> DataFrame:

@@ -84,12 +84,14 @@ def cohen_kappa(ratings: DataFrame, a: str, b: str) -> DataFrame:
     Works on the confusion counts, which have one row per pair of labels.
     """
     cells = ratings.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    rows, cols = cells.groupBy("a").agg(F.sum("n").alias("ra")), cells.groupBy("b").agg(F.sum("n").alias("cb"))
-    pe = rows.join(cols, rows.a == cols.b).agg(F.coalesce(F.sum(F.col("ra") * F.col("cb")), F.lit(0)).alias("pe"))
-    po = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0)).alias("po"))
-    one = po.withColumn("one", F.lit(1)).join(pe.withColumn("one", F.lit(1)), "one")
+    zero = F.lit(0).cast("bigint")
+    part = lambda label, r, c, d: F.struct(label.alias("label"), r.alias("r"), c.alias("c"), d.alias("d"))
+    same = F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(zero)
+    long = cells.select(F.explode(F.array(part(F.col("a"), F.col("n"), zero, same), part(F.col("b"), zero, F.col("n"), zero))).alias("x")).select("x.*")
+    labels = long.groupBy("label").agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.sum("d").alias("d"))
+    sums = labels.agg(*[F.coalesce(F.sum(e), F.lit(0)).alias(name) for name, e in (("n", F.col("r")), ("po", F.col("d")), ("pe", F.col("r") * F.col("c")))])
     n = F.col("n")
-    out = one.select(n, F.try_divide("po", n).alias("po"), F.try_divide("pe", n * n).alias("pe"))
+    out = sums.select(n, F.try_divide("po", n).alias("po"), F.try_divide("pe", n * n).alias("pe"))
     k = F.when(F.col("n") == 0, F.lit(float("nan"))).when(F.col("pe") >= 1 - 1e-12, 1.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe")))
     return out.withColumn("kappa", k)
 

@@ -249,12 +249,13 @@ def jaccard_leakage(spark, sf_dir):
     return corpus.similar_questions(table(spark, sf_dir, "train_sample").select(F.col("sample_id").alias("item"), F.col("question").alias("text")), q)
 
 
-@query(f"""WITH h AS (SELECT DISTINCT title AS held_out, array_to_string({WORDS.format(c='title')}, ' ') AS k FROM norm WHERE title IS NOT NULL),
-d AS (SELECT DISTINCT doc_name AS name, array_to_string({WORDS.format(c='doc_name')}, ' ') AS k FROM train_sample WHERE doc_name IS NOT NULL)
+@query(f"""WITH h AS (SELECT DISTINCT so_hieu AS held_out, array_to_string({WORDS.format(c='so_hieu')}, ' ') AS k FROM norm WHERE so_hieu IS NOT NULL),
+d AS (SELECT DISTINCT title AS name, array_to_string({WORDS.format(c='title')}, ' ') AS k FROM norm WHERE title IS NOT NULL)
 SELECT d.name, h.held_out FROM d JOIN h ON contains(' ' || d.k || ' ', ' ' || h.k || ' ') WHERE h.k <> ''""")
 def name_leakage(spark, sf_dir):
-    held = table(spark, sf_dir, "norm").where("title is not null").select(F.col("title").alias("name"))
-    return corpus.leaking_names(table(spark, sf_dir, "train_sample").where("doc_name is not null").select(F.col("doc_name").alias("name")).distinct(), held)
+    n = table(spark, sf_dir, "norm")
+    held = n.where("so_hieu is not null").select(F.col("so_hieu").alias("name"))
+    return corpus.leaking_names(n.where("title is not null").select(F.col("title").alias("name")).distinct(), held)
 
 
 @query(f"""WITH s AS (SELECT DISTINCT title AS name, {_SLUG.format(c='title')} AS base FROM documents WHERE title IS NOT NULL),
