@@ -39,8 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where the input has too few splits for them, as a small table in one file; else unchanged.
 
-    For work that costs far more per row than moving the row. Large inputs have splits enough and are never moved.
+    For work that costs far more per row than moving the row. Large inputs have splits enough and are never moved; what
+    a shuffle has made is left alone, as counting its partitions would run it.
     """
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        return df
+    splits = execution.toRdd().getNumPartitions()
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if splits * 2 <= cores else df
