@@ -50,6 +50,21 @@ def citation_scores_norm(spark, sf_dir):
     return _r(spark, sf_dir).select("result_id", s.alias("s")).select("result_id", *[F.round(f"s.{c}", 9).alias(c) for c in ("precision", "recall", "f1")], "s.match_count")
 
 
+_ARTICLES = "SELECT result_id, nullif(lower(trim(c.van_ban)), '') AS k, nullif(lower(trim(c.dieu)), '') AS d, count(*) AS n FROM (SELECT result_id, unnest({c}) AS c FROM eval_result) GROUP BY ALL"
+
+
+@query(f"""WITH p AS ({_ARTICLES.format(c='pred_citations')}), g AS ({_ARTICLES.format(c='ground_truth_citations')}),
+m AS (SELECT result_id, sum(least(p.n, g.n))::int AS m FROM p JOIN g USING (result_id) WHERE p.k IS NOT DISTINCT FROM g.k AND p.d IS NOT DISTINCT FROM g.d GROUP BY 1),
+x AS (SELECT r.result_id, coalesce(len(pred_citations), 0) AS np, coalesce(len(ground_truth_citations), 0) AS ng, coalesce(m, 0) AS m FROM eval_result r LEFT JOIN m USING (result_id)),
+y AS (SELECT *, CASE WHEN np > 0 THEN m / np WHEN ng = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN ng > 0 THEN m / ng ELSE 1.0 END AS r FROM x)
+SELECT result_id, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1, m AS match_count FROM y""")
+def citation_scores_article(spark, sf_dir):
+    """At the level of articles nothing is a wildcard, so greedy matching is the multiset intersection SQL can count."""
+    s = metrics.citation_score(F.col("pred_citations"), F.col("ground_truth_citations"), "dieu")
+    r = spread(_r(spark, sf_dir).select("result_id", "pred_citations", "ground_truth_citations"))
+    return r.select("result_id", s.alias("s")).select("result_id", *[F.round(f"s.{c}", 9).alias(c) for c in ("precision", "recall", "f1")], "s.match_count")
+
+
 @query("""WITH x AS (SELECT result_id, gap_type, list_distinct(list_filter([lower(trim(c.van_ban)) FOR c IN coalesce(pred_citations, [])], lambda v: v <> '')) AS p,
   list_distinct(list_filter([lower(trim(c.van_ban)) FOR c IN coalesce(ground_truth_citations, [])], lambda v: v <> '')) AS g, coalesce(len(pred_citations), 0) AS n FROM eval_result)
 SELECT result_id, CASE WHEN len(g) > 0 THEN len(list_intersect(g, p)) / len(g) WHEN len(p) = 0 THEN 1.0 ELSE 0.0 END AS norm_recall, CASE WHEN gap_type = 'negative' THEN n = 0 END AS negative_correct FROM x""")
