@@ -288,7 +288,9 @@ def event_sessions(spark, sf_dir):
 
 @query("""SELECT event_id, round(greatest(0, least(coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id)) / 1e6, 0) / 2, 5)), 6) AS wait FROM events""")
 def replay_waits(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    # seconds since a trace began: seconds since 1970 as a double have no room for microseconds
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events").withColumn("t", (us - F.min(us).over(Window.partitionBy("user_id"))) / 1e6)
     return traces.replay_waits(e, "user_id", "event_id", "t", speed=2.0).select("event_id", F.round("wait", 6).alias("wait"))
 
 
