@@ -286,12 +286,10 @@ def event_sessions(spark, sf_dir):
     return traces.sessions(table(spark, sf_dir, "events"), "ts", "user_id")
 
 
-@query("""SELECT event_id, round(greatest(0, least(coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id)) / 1e6, 0) / 2, 5)), 6) AS wait FROM events""")
+@query("""SELECT event_id, greatest(0, least(coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id)) / 1e6::double, 0) / 2, 5))::double AS wait FROM events""")
 def replay_waits(spark, sf_dir):
-    # seconds since a trace began: seconds since 1970 as a double have no room for microseconds
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = table(spark, sf_dir, "events").withColumn("t", (us - F.min(us).over(Window.partitionBy("user_id"))) / 1e6)
-    return traces.replay_waits(e, "user_id", "event_id", "t", speed=2.0).select("event_id", F.round("wait", 6).alias("wait"))
+    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    return traces.replay_waits(e, "user_id", "event_id", "t", speed=2.0, per_second=1e6).select("event_id", "wait")
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS step FROM events""")

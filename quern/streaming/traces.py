@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def replay_waits(events: DataFrame, trace: str, seq: str, t: str, speed: float = 1.0, most: float = 5.0) -> DataFrame:
-    """Adds ``wait``: seconds before an event in a replay, the gap over the speed (0.1 at least), at most ``most``, never negative."""
-    gap = F.col(t) - F.lag(t).over(Window.partitionBy(trace).orderBy(seq))
+def replay_waits(events: DataFrame, trace: str, seq: str, t: str, speed: float = 1.0, most: float = 5.0, per_second: float = 1.0) -> DataFrame:
+    """Adds ``wait``: seconds before an event in a replay, the gap over the speed (0.1 at least), at most ``most``, never negative.
+
+    ``per_second`` is how many units of t a second has; gaps of whole microseconds stay exact that way.
+    """
+    gap = (F.col(t) - F.lag(t).over(Window.partitionBy(trace).orderBy(seq))) / per_second
     return events.withColumn("wait", F.greatest(F.lit(0.0), F.least(F.coalesce(gap, F.lit(0.0)) / max(speed, 0.1), F.lit(most))))
 
 
