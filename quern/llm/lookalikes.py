@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -112,21 +113,56 @@ def is_plain(text: Column) -> Column:
     return ~text.rlike(f"[^{PLAIN}]")
 
 
+def look(text: str | None) -> str | None:
+    """The composed skeleton of a text that differs from its own plain decomposition or isn't composed; null for others.
+
+    Where it is null nothing but the text itself has its skeleton in this form, and the text is its own canonical form.
+    """
+    if text is None:
+        return None
+    s = skeleton(text)
+    return unicodedata.normalize("NFC", s) if s != unicodedata.normalize("NFD", text) or not unicodedata.is_normalized("NFC", text) else None
+
+
+def candidates(df: DataFrame, text: str) -> DataFrame:
+    """Rows of (table_name, row_key, text) whose skeleton differs from what they are made of: ``table_name, row_key, text, look``.
+
+    ``look`` is the hash of the skeleton: texts that look the same have the same. Plain texts are passed over in the
+    JVM, as their skeleton is their plain decomposition.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            looks = b["text"].map(look)
+            hit = looks.notna()
+            yield b[hit].assign(look=[hashlib.md5(x.encode("utf-8", "surrogatepass")).hexdigest() for x in looks[hit]])
+
+    rows = df.select("table_name", "row_key", F.col(text).alias("text")).where(F.col("text").isNotNull() & ~is_plain(F.col("text")))
+    return rows.mapInPandas(run, "table_name string, row_key string, text string, look string")
+
+
 def canonical_rows(df: DataFrame, text: str) -> DataFrame:
     """Rows of (table_name, row_key, text) whose text changes, with the new text: ``table_name, row_key, canonical``.
 
-    Plain texts are passed over in the JVM, the rest goes through Arrow batches. Null and empty texts never
-    change. No shuffle; a text's length has no bound.
+    Candidates come from the skeleton and are grouped by it; ``canonical`` is the exact check, made once per form of a
+    group. A frequent group is spread over 16 tasks and read in order, so neither its rows nor a text's length have a
+    bound. Null and empty texts never change.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, form = None, None
         for b in batches:
-            new = b["text"].map(canonical)
+            new = []
+            for t in b["text"]:
+                if t != last:
+                    last, form = t, canonical(t)
+                new.append(form)
+            new = pd.Series(new, b.index, dtype=object)
             hit = new != b["text"]
             yield pd.DataFrame({"table_name": b["table_name"][hit], "row_key": b["row_key"][hit], "canonical": new[hit]})
 
-    rows = df.select("table_name", "row_key", F.col(text).alias("text")).where(F.col("text").isNotNull() & ~is_plain(F.col("text")))
-    return rows.mapInPandas(run, "table_name string, row_key string, canonical string")
+    grouped = candidates(df, text).repartition("look", F.pmod(F.xxhash64("row_key"), F.lit(16))).sortWithinPartitions("look", "text")
+    return grouped.mapInPandas(run, "table_name string, row_key string, canonical string")
 
 
 @F.pandas_udf(T.StringType())

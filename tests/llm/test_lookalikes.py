@@ -51,3 +51,16 @@ def test_frames(spark):
     assert L.canonical_rows(df.limit(0), "text").count() == 0
     g = spark.createDataFrame([("có",), ("сó",), ("có",), ("khác",), (None,)], "t string")
     assert rows(L.skeleton_groups(g, "t"), "n_forms", "n_rows") == [(2, 3)]
+
+
+def test_found_rows_are_candidates_grouped_by_skeleton(spark):
+    # nothing that canonical changes is lost on the way, whatever the character and what stands beside it
+    odd = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for t in [*CASES, *KEPT, *(f(c) for c in odd for f in (str, lambda c: f"a{c}b"))]:
+        assert L.canonical(t) == t or L.look(t) is not None, repr(t)
+    assert L.look(None) is None and L.look(PLAIN) is None and L.look("") is None
+    df = spark.createDataFrame([("t", "1", "сó"), ("u", "2", "có\u200b"), ("u", "3", "có"), ("t", "4", "ó с"), ("t", "5", None)], "table_name string, row_key string, text string")
+    got = {r.row_key: r.look for r in L.candidates(df, "text").collect()}
+    assert set(got) == {"1", "2", "4"} and got["1"] == got["2"] != got["4"]
+    assert "hashpartitioning(look" in L.canonical_rows(df, "text")._jdf.queryExecution().toString()
+    assert rows(L.canonical_rows(df, "text")) == [("t", "1", "có"), ("t", "4", "ó c"), ("u", "2", "có")]
