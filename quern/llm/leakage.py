@@ -2,7 +2,8 @@
 
 Items and texts are cut into windows of as many words as count as a leak. A CGK random walk embeds each window so
 that few edits of words change few places; bit-sampling LSH over the embedding proposes pairs, and exact edit
-distance decides. Repetitions reach the target recall; windows without edits are always proposed.
+distance to all lengths a window can have after the edits decides. Repetitions reach the target recall for the edits
+that are hardest to see; windows without edits are always proposed.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ class Walk:
     window: int
     places: tuple[int, ...]
 
-    def keys(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Keys of the windows that begin at ``starts``.
+    def keys(self, codes: np.ndarray, starts: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+        """Keys of the windows that begin at ``starts``; ``room`` is how many words each text still has there.
 
         Step j writes the word the walk stands on and goes on by one word or none, as a random bit of (j, word) says;
         beyond the window it writes nothing. Only the sampled places are kept, mixed into the key.
@@ -54,11 +55,12 @@ class Walk:
         mix = rng.integers(1, 1 << 63, 3 * self.window + 2, np.uint64) | np.uint64(1)
         keep = set(self.places)
         stand = np.zeros(len(starts), np.int64)
+        width = self.window if room is None else np.minimum(room, self.window)
         key = np.zeros(len(starts), np.uint64)
         top = np.uint64(63)
         with np.errstate(over="ignore"):
             for j in range(max(keep) + 1):
-                inside = stand < self.window
+                inside = stand < width
                 word = codes[np.minimum(starts + stand, len(codes) - 1)] * inside
                 hashed = (word + mix[j]) * mix[j + 1]
                 hashed ^= hashed >> np.uint64(29)
@@ -70,30 +72,42 @@ class Walk:
         return key
 
 
-def tables_needed(max_edits: int, recall: float = 0.95, window: int = WINDOW, sampled: int = SAMPLED, trials: int = 400) -> int:
+def edited(base: np.ndarray, kinds: tuple[int, ...], places: tuple[int, ...], rng: np.random.Generator) -> np.ndarray:
+    """Rows of words with one word changed (kind 0), inserted (1) or deleted (2) at each of the places."""
+    out = base.copy()
+    for kind, at in zip(kinds, places):
+        new = rng.integers(1, 1 << 63, len(out), np.uint64)
+        if kind == 1:
+            out[:, at + 1 :] = out[:, at:-1].copy()
+        if kind == 2:
+            out[:, at:-1] = out[:, at + 1 :].copy()
+        else:
+            out[:, at] = new
+    return out
+
+
+def tables_needed(max_edits: int, recall: float = 0.95, window: int = WINDOW, sampled: int = SAMPLED, trials: int = 200) -> int:
     """Repetitions after which a pair within ``max_edits`` edits of words is proposed with the target recall.
 
-    The chance of one repetition is measured on random windows; without edits it is 1.
+    The chance of one repetition is measured on random windows for every kind and place of an edit, the least of them
+    counts; of several edits, for the worst kind and place of each of them. Without edits it is 1.
     """
     if max_edits <= 0:
         return 1
     rng = np.random.default_rng(5)
-    base = rng.integers(1, 1 << 63, (trials, 2 * window), np.uint64)
-    other = base.copy()
-    for row in other:
-        for _ in range(max_edits):
-            at = int(rng.integers(0, window))
-            kind = int(rng.integers(0, 3))
-            if kind == 0:
-                row[at] = rng.integers(1, 1 << 63, dtype=np.uint64)
-            elif kind == 1:
-                row[at + 1 :] = row[at:-1].copy()
-                row[at] = rng.integers(1, 1 << 63, dtype=np.uint64)
-            else:
-                row[at:-1] = row[at + 1 :].copy()
-    starts = np.arange(trials) * 2 * window
-    hits = [np.mean(w.keys(base.ravel(), starts) == w.keys(other.ravel(), starts)) for w in walks(16, window, sampled)]
-    p = max(float(np.mean(hits)), 0.01)
+    base = rng.integers(1, 1 << 63, (trials, 2 * window + max_edits), np.uint64)
+    starts = np.arange(trials) * base.shape[1]
+    tried = walks(32, window, sampled)
+    plain = [w.keys(base.ravel(), starts) for w in tried]
+
+    def chance(kinds: tuple[int, ...], places: tuple[int, ...]) -> float:
+        other = edited(base, kinds, places, rng).ravel()
+        return float(np.mean([np.mean(k == w.keys(other, starts)) for w, k in zip(tried, plain)]))
+
+    kinds, places, p = (), (), 1.0
+    for _ in range(max_edits):
+        p, kinds, places = min((chance((*kinds, k), (*places, at)), (*kinds, k), (*places, at)) for k in range(3) for at in range(window))
+    p = max(p, 0.5 / (trials * len(tried)))
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(p, 0.999))))
 
 
@@ -120,6 +134,29 @@ def edits(a: list, b: list, most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def prefix_edits(a: np.ndarray, b: np.ndarray, room: np.ndarray, most: int) -> np.ndarray:
+    """Per row, the least edit distance of the words ``b`` to the first n words of ``a``, n within ``most`` of b's length and ``room``."""
+    row = [np.full(len(a), j) for j in range(a.shape[1] + 1)]
+    for i in range(b.shape[1]):
+        last, row[0] = row[0], np.full(len(a), i + 1)
+        for j in range(1, len(row)):
+            last, row[j] = row[j], np.minimum(np.minimum(row[j], row[j - 1]) + 1, last + (a[:, j - 1] != b[:, i]))
+    least = np.full(len(a), most + 1)
+    for n in range(max(1, b.shape[1] - most), len(row)):
+        least = np.where(n <= room, np.minimum(least, row[n]), least)
+    return least
+
+
+def grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on, as far as there are n."""
+    out = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out = (out ^ codes[j : j + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
 class Items:
     """Windows of the items with their keys per repetition, sorted for probing."""
 
@@ -142,30 +179,49 @@ class Items:
             keys = r.keys(self.codes, self.starts)
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], order, pd.Index(np.unique(keys))))
-
-    def found(self, codes: np.ndarray, starts: np.ndarray, max_edits: int) -> set[tuple[int, int]]:
-        """(start, item) of windows proposed by any repetition and within the edit distance."""
+        self.known_grams: dict[int, pd.Index] = {}
+
+    def near(self, codes: np.ndarray, starts: np.ndarray, max_edits: int) -> np.ndarray:
+        """True for windows that hold a run of words of an item as long as ``max_edits`` edits must leave; others can't be within them."""
+        n = -(-(self.window - max_edits) // (max_edits + 1))
+        if n < 1 or len(codes) < n:
+            return np.ones(len(starts), bool)
+        if n not in self.known_grams:
+            self.known_grams[n] = pd.Index(np.unique(grams(self.codes, n)))
+        seen = np.r_[0, np.cumsum(self.known_grams[n].get_indexer(grams(codes, n)) >= 0)]
+        top = len(seen) - 1
+        return seen[np.minimum(starts + self.window + max_edits - n + 1, top)] > seen[np.minimum(starts, top)]
+
+    def found(self, codes: np.ndarray, starts: np.ndarray, max_edits: int, room: np.ndarray | None = None) -> set[tuple[int, int]]:
+        """(start, item) of windows proposed by any repetition and within the edit distance; ``room`` as in ``Walk.keys``."""
         out: set[tuple[int, int]] = set()
-        if not len(self.starts):
+        if not len(self.starts) or not len(starts):
             return out
-        w = np.arange(self.window)
-        for r, (keys, order, known) in zip(self.reps, self.tables):
-            for lo in range(0, len(starts), CHUNK):
-                part = starts[lo : lo + CHUNK]
-                probe = r.keys(codes, part)
+        room = np.full(len(starts), self.window) if room is None else room
+        if max_edits:
+            keep = self.near(codes, starts, max_edits)
+            starts, room = starts[keep], room[keep]
+        for lo in range(0, len(starts), CHUNK):
+            part, left_over = starts[lo : lo + CHUNK], room[lo : lo + CHUNK]
+            pairs = np.empty(0, np.int64)
+            for r, (keys, order, known) in zip(self.reps, self.tables):
+                probe = r.keys(codes, part, left_over)
                 hit = np.flatnonzero(known.get_indexer(probe) >= 0)
                 if not len(hit):
                     continue
                 left = np.searchsorted(keys, probe[hit], "left")
                 n = np.searchsorted(keys, probe[hit], "right") - left
-                mine = np.repeat(part[hit], n)
                 theirs = order[np.repeat(left - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-                a, b = codes[mine[:, None] + w], self.codes[self.starts[theirs][:, None] + w]
-                same = (a == b).all(1)
+                pairs = np.union1d(pairs, np.repeat(hit, n) * len(self.starts) + theirs)
+            for at in range(0, len(pairs), CHUNK):
+                mine, theirs = np.divmod(pairs[at : at + CHUNK], len(self.starts))
+                a = codes[np.minimum(part[mine][:, None] + np.arange(self.window + max_edits), len(codes) - 1)]
+                b = self.codes[self.starts[theirs][:, None] + np.arange(self.window)]
+                same = (a[:, : self.window] == b).all(1) & (left_over[mine] >= self.window)
                 if max_edits:
-                    for i in np.flatnonzero(~same):
-                        same[i] = edits(a[i].tolist(), b[i].tolist(), max_edits) <= max_edits
-                out.update(zip(mine[same].tolist(), self.owner[theirs[same]].tolist()))
+                    rest = np.flatnonzero(~same)
+                    same[rest] = prefix_edits(a[rest], b[rest], left_over[mine][rest], max_edits) <= max_edits
+                out.update(zip(part[mine[same]].tolist(), self.owner[theirs[same]].tolist()))
         return out
 
 
@@ -174,7 +230,8 @@ def leaks(texts: DataFrame, items: DataFrame, max_edits: int = 0, recall: float
 
     ``texts(sample_id, text)``, several rows of a sample being texts by themselves; ``items(item_id, text)``. A leak is
     a window of ``window`` consecutive words of the item that stands in the text with at most ``max_edits`` words
-    inserted, deleted or changed; n_windows counts places in the sample's texts. Words are compared without case,
+    inserted, deleted or changed, so up to as many words longer or shorter there; n_windows counts the words of the
+    sample's texts from which on such a window stands. Words are compared without case,
     accents, punctuation, markup and invisible characters. Null, empty and short texts and items have no windows.
 
     Items are the query set: their windows go to every task, at most ``shared_windows`` at a time, which is counted
@@ -196,13 +253,14 @@ def leaks(texts: DataFrame, items: DataFrame, max_edits: int = 0, recall: float
             index = Items(*shared.value, window, reps)
             for b in batches:
                 codes: list[int] = []
-                starts, owner_at = [], []
+                starts, rooms, owner_at = [], [], []
                 for t in b["text"]:
                     w = words(t)
                     owner_at.append(len(codes))
-                    n = len(w) - window + 1
+                    n = len(w) - max(1, window - max_edits) + 1
                     if n > 0:
                         starts.append(np.arange(len(codes), len(codes) + n))
+                        rooms.append(np.arange(len(w), len(w) - n, -1))
                     for x in w:
                         c = known.get(x)
                         if c is None:
@@ -210,7 +268,7 @@ def leaks(texts: DataFrame, items: DataFrame, max_edits: int = 0, recall: float
                                 known.clear()
                             c = known[x] = word_code(x)
                         codes.append(c)
-                hits = index.found(np.array(codes, np.uint64), np.concatenate(starts) if starts else np.empty(0, np.int64), max_edits)
+                hits = index.found(np.array(codes, np.uint64), np.concatenate(starts), max_edits, np.concatenate(rooms)) if starts else None
                 if hits:
                     at = np.array([h[0] for h in hits])
                     rows = np.searchsorted(np.array(owner_at), at, "right") - 1

@@ -80,3 +80,34 @@ def test_equal_windows_have_equal_keys_and_others_do_not():
 def test_report_lists_items_without_leaks(spark):
     t, i = frames(spark, [("s", "a b c d e f")], [("x", "b c d e"), ("y", "z z z z")])
     assert rows(leakage.leak_report(leakage.leaks(t, i, window=4), i)) == [("x", 1, 1), ("y", 0, 0)]
+
+
+def brute_lengths(texts, items, window, most):
+    """(sample, item) pairs by comparing text windows of every length that edits can leave with every window of the items."""
+    out = set()
+    for s, t in texts:
+        w = words(t)
+        for i, q in items:
+            v = words(q)
+            if any(leakage.edits(w[a : a + n], v[b : b + window], most) <= most for n in range(window - most, window + most + 1) for a in range(len(w) - n + 1) for b in range(len(v) - window + 1)):
+                out.add((s, i))
+    return out
+
+
+def test_inserted_and_deleted_words_are_near_leaks(spark):
+    rng = random.Random(3)
+    items = [(f"q{i}", " ".join(f"w{rng.randrange(4000)}" for _ in range(10))) for i in range(60)]
+    texts = []
+    for i, (_, q) in enumerate(items):
+        w = q.split()
+        for at in range(10):
+            texts += [(f"i{i}.{at}", " ".join(["x", *w[:at], "y", *w[at:], "z"])), (f"d{i}.{at}", " ".join(w[:at] + w[at + 1 :]))]
+            texts += [(f"c{i}.{at}", " ".join(["x", *w[:at], "y", *w[at + 1 :], "z"])), (f"n{i}.{at}", " ".join([*w[:at][:-1], "y", "y", *w[at:][1:]]))]
+    t, i = frames(spark, texts, items)
+    want = brute_lengths(texts, items, 10, 1)
+    got = {r[:2] for r in rows(leakage.leaks(t, i, max_edits=1), "sample_id", "item_id")}
+    assert got <= want
+    for kind in "idc":
+        for at in range(10):
+            some = {x for x in want if x[0].startswith(kind) and x[0].endswith(f".{at}")}
+            assert len(some) == 60 and len(got & some) >= 0.85 * 60, (kind, at, len(got & some))
