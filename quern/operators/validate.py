@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.dates import is_blank, parse_day
 
@@ -91,6 +95,67 @@ def unresolved(citations: DataFrame, leaves: DataFrame) -> DataFrame:
     return no_norm.unionByName(no_article).unionByName(no_clause)
 
 
+def leaf_place(path: Column) -> Column:
+    """Where a leaf stands, by the headings of its path: a struct of ``dieu, khoan, diem, pl``, null where there is none.
+
+    ``pl`` is the whole heading of an appendix.
+    """
+
+    def last(rx: str) -> Column:
+        below = F.slice(path, F.lit(2), F.greatest(F.size(path) - 1, F.lit(0)))
+        return F.try_element_at(F.filter(F.transform(below, lambda x: F.regexp_extract(x, rx, 1)), lambda x: x != ""), F.lit(-1))
+
+    part = r"^%s\s+([\p{L}\p{N}_]+)"
+    return F.struct(last(part % "Điều").alias("dieu"), last(part % "Khoản").alias("khoan"), last(part % "Điểm").alias("diem"), last(r"^(Phụ lục[\s\S]*)").alias("pl"))
+
+
+@F.pandas_udf(T.StringType())
+def appendix_label(c: pd.Series) -> pd.Series:
+    """Headings of appendices in the form they are compared in: composed, lower case, single spaces."""
+    return c.map(lambda t: " ".join(unicodedata.normalize("NFC", t).lower().split()), na_action="ignore")
+
+
+def is_appendix(loai: Column, dieu: Column) -> Column:
+    """True for citations of an appendix."""
+    return F.coalesce(loai == "phu_luc", F.lit(False)) | F.coalesce(F.lower(F.trim(dieu)).startswith("phụ lục"), F.lit(False))
+
+
+def appendix_target(dieu: Column) -> Column:
+    """What a citation of an appendix names, as a label: 'I' is 'phụ lục i'."""
+    return appendix_label(F.when(F.lower(F.trim(dieu)).startswith("phụ lục"), dieu).otherwise(F.concat(F.lit("phụ lục "), dieu)))
+
+
+def labels_match(label: Column, target: Column, dieu: Column) -> Column:
+    """True where one label begins with the other, or the citation names no sign ('_default')."""
+    return (F.trim(dieu) == "_default") | label.startswith(target) | target.startswith(label)
+
+
+def unresolved_levels(citations: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Citations that don't resolve, with the first level that fails: ``cite_id, level``.
+
+    ``citations(cite_id, norm, loai, dieu, khoan, diem)``, ``leaves(norm, dieu, khoan, diem, pl)`` as of ``leaf_place``.
+    Levels: van_ban (also without one), dieu_missing, then dieu, khoan and diem, or phu_luc and phu_luc_khoan of an
+    appendix. A point counts only under a clause. The appendices of one norm are gathered in a list.
+    """
+    yes = F.lit(True)
+    c = citations.select("cite_id", "norm", "loai", *[F.trim(x).alias(x) for x in ("dieu", "khoan", "diem")])
+    marks = [(["norm"], "has_norm"), (["norm", "dieu"], "has_dieu"), (["norm", "dieu", "khoan"], "has_khoan"), (["norm", "dieu", "khoan", "diem"], "has_diem")]
+    appendix = is_appendix(F.col("loai"), F.col("dieu"))
+    known = c.join(leaves.select("norm").distinct().withColumn("has_norm", yes), "norm", "left")
+    first = F.when(F.col("has_norm").isNull(), "van_ban").when(is_blank(F.col("dieu")), "dieu_missing")
+    articles = known.where(~appendix | is_blank(F.col("dieu")))
+    for keys, name in marks[1:]:
+        articles = articles.join(leaves.dropna(subset=keys).select(*keys).distinct().withColumn(name, yes), keys, "left")
+    clause = F.col("khoan").isNotNull()
+    level = first.when(F.col("has_dieu").isNull(), "dieu").when(clause & F.col("has_khoan").isNull(), "khoan").when(clause & F.col("diem").isNotNull() & F.col("has_diem").isNull(), "diem")
+    labels = leaves.where("pl is not null").select("norm", "pl", "khoan").distinct().select("norm", F.struct(appendix_label("pl").alias("pl"), "khoan").alias("l")).groupBy("norm").agg(F.collect_set("l").alias("labels"))
+    others = known.where(appendix & ~is_blank(F.col("dieu"))).withColumn("target", appendix_target(F.col("dieu"))).join(labels, "norm", "left")
+    fits = F.filter(F.coalesce("labels", F.array().cast("array<struct<pl:string,khoan:string>>")), lambda l: labels_match(l["pl"], F.col("target"), F.col("dieu")))
+    others = others.withColumn("fits", fits)
+    of = first.when(F.size("fits") == 0, "phu_luc").when(clause & ~F.coalesce(F.exists("fits", lambda l: l["khoan"].eqNullSafe(F.col("khoan"))), F.lit(False)), "phu_luc_khoan")
+    return articles.select("cite_id", level.alias("level")).unionByName(others.select("cite_id", of.alias("level"))).where("level is not null")
+
+
 def distribution(df: DataFrame, *keys: str) -> DataFrame:
     """Counts and shares of all combinations of keys."""
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -230,6 +230,38 @@ def unresolved_citations(spark, sf_dir):
     return validate.unresolved(cites, leaves.distinct())
 
 
+def _last(rx: str) -> str:
+    return f"list_filter(list_transform(context_path[2:], lambda x: regexp_extract(x, '{rx}', 1)), lambda x: x <> '')[-1]"
+
+
+def label_sql(c: str) -> str:
+    return rf"trim(regexp_replace(lower(nfc_normalize({c})), '\s+', ' ', 'g'))"
+
+
+#: Where a leaf stands, in SQL; columns dieu, khoan, diem and pl.
+PLACE_SQL = ", ".join(rf"{_last(rf'^{h}\s+([\p{{L}}\p{{N}}_]+)')} AS {n}" for h, n in (("Điều", "dieu"), ("Khoản", "khoan"), ("Điểm", "diem"))) + rf", {label_sql(_last(r'^(Phụ lục[\s\S]*)'))} AS pl"
+APPENDIX_SQL = "(coalesce(loai, '') = 'phu_luc' OR starts_with(lower(coalesce(dieu, '')), 'phụ lục'))"
+TARGET_SQL = label_sql("CASE WHEN starts_with(lower(dieu), 'phụ lục') THEN dieu ELSE 'phụ lục ' || dieu END")
+
+
+@query(f"""WITH l AS (SELECT DISTINCT lower(trim(norm_id)) AS norm, {PLACE_SQL} FROM text_unit), c AS (SELECT result_id, unnest(pred_citations) AS c FROM eval_result),
+k0 AS (SELECT DISTINCT result_id, lower(trim(c.van_ban)) AS norm, c.loai AS loai, trim(c.dieu) AS dieu, trim(c.khoan) AS khoan, trim(c.diem) AS diem FROM c),
+k AS (SELECT *, result_id || '|' || coalesce(norm, '') || '|' || coalesce(loai, '') || '|' || coalesce(dieu, '') || '|' || coalesce(khoan, '') || '|' || coalesce(diem, '') AS cite_id, {APPENDIX_SQL} AS app, {TARGET_SQL} AS target FROM k0),
+m AS (SELECT k.cite_id, k.app, k.dieu, k.khoan, k.diem, bool_or(l.norm IS NOT NULL) AS n, coalesce(bool_or(l.dieu = k.dieu), false) AS a, coalesce(bool_or(l.dieu = k.dieu AND l.khoan = k.khoan), false) AS b, coalesce(bool_or(l.dieu = k.dieu AND l.khoan = k.khoan AND l.diem = k.diem), false) AS p,
+coalesce(bool_or(l.pl IS NOT NULL AND (k.dieu = '_default' OR starts_with(l.pl, k.target) OR starts_with(k.target, l.pl))), false) AS f,
+coalesce(bool_or(l.pl IS NOT NULL AND (k.dieu = '_default' OR starts_with(l.pl, k.target) OR starts_with(k.target, l.pl)) AND l.khoan = k.khoan), false) AS fk FROM k LEFT JOIN l ON k.norm = l.norm GROUP BY ALL),
+v AS (SELECT cite_id, CASE WHEN NOT n THEN 'van_ban' WHEN coalesce(dieu, '') = '' THEN 'dieu_missing' WHEN app AND NOT f THEN 'phu_luc' WHEN app AND khoan IS NOT NULL AND NOT fk THEN 'phu_luc_khoan' WHEN app THEN NULL
+WHEN NOT a THEN 'dieu' WHEN khoan IS NOT NULL AND NOT b THEN 'khoan' WHEN khoan IS NOT NULL AND diem IS NOT NULL AND NOT p THEN 'diem' END AS level FROM m)
+SELECT cite_id, level FROM v WHERE level IS NOT NULL""")
+def unresolved_levels(spark, sf_dir):
+    """Citations that don't resolve at any of the levels, points and appendices too."""
+    u = table(spark, sf_dir, "text_unit").select(F.lower(F.trim("norm_id")).alias("norm"), validate.leaf_place(F.col("context_path")).alias("p")).select("norm", "p.*").distinct()
+    c = table(spark, sf_dir, "eval_result").select("result_id", F.explode("pred_citations").alias("c"))
+    c = c.select("result_id", F.lower(F.trim("c.van_ban")).alias("norm"), "c.loai", *[F.trim(f"c.{x}").alias(x) for x in ("dieu", "khoan", "diem")]).distinct()
+    parts = [F.coalesce(F.col(x), F.lit("")) for x in ("norm", "loai", "dieu", "khoan", "diem")]
+    return validate.unresolved_levels(c.withColumn("cite_id", F.concat_ws("|", F.col("result_id").cast("string"), *parts)), u)
+
+
 def _grams(t: str, key: str, c: str) -> str:
     return f"SELECT DISTINCT {key}, unnest([list_aggregate(w[i:i+4], 'string_agg', ' ') FOR i IN range(1, greatest(len(w) - 3, 1))]) AS g FROM (SELECT {key}, {WORDS.format(c=c)} AS w FROM {t})"
 

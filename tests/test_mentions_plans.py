@@ -52,3 +52,30 @@ def test_plans(spark):
     u = spark.createDataFrame([(i, "n", ["lệ", "phí"]) for i in range(5)] + [(9, "m", ["phí"]), (8, "n", ["lệ", "phí", "đất"])], "item int, norm string, tokens array<string>")
     assert rows(Q.label_candidates(q, u), "item") == [(0,), (1,), (8,)]
     assert Q.over_budget(spark.createDataFrame([(90,), (10,)], "t int"), "t", 20, 100).count() == 1
+
+
+LEAVES = [
+    ("n", ["n", "Điều 1. A", "Khoản 2", "Điểm đ"], "t1"),
+    ("n", ["n", "Điều 1. A", "Khoản 2", "Điểm a"], "t2"),
+    ("n", ["n", "Phu\u0323 lu\u0323c không", "Khoản 9"], "t3"),
+    ("n", ["n", "Phụ lục I. Mẫu  đơn", "Khoản 3"], "t4"),
+    ("m", ["m", "Điều 1"], "t5"),
+    ("m", None, "t6"),
+]
+
+
+def test_citations_resolve_by_point_and_appendix(spark):
+    from quern.operators import validate
+
+    u = spark.createDataFrame(LEAVES, "norm string, path array<string>, text string")
+    u = u.select("norm", validate.leaf_place(F.col("path")).alias("p")).select("norm", "p.*").distinct()
+    cites = {
+        "good": ("n", None, "1", "2", "đ"), "point": ("n", "dieu", "1", "2", "b"), "clause": ("n", "dieu", "1", "7", "a"), "article": ("n", "dieu", "8", None, None), "no clause": ("n", "dieu", "1", None, "b"),
+        "null": ("n", "dieu", None, "1", None), "blank": ("n", "phu_luc", " ", None, None), "norm": ("x", "dieu", None, None, None), "no norm": (None, "dieu", "1", None, None),
+        "app": ("n", "phu_luc", "I", None, None), "app 3": ("n", None, "Phụ lục I.  Mẫu đơn kèm theo", "3", None), "app any": ("n", "phu_luc", "_default", "3", None),
+        "app clause": ("n", "phu_luc", "I", "4", None), "app no": ("n", "phu_luc", "V", None, None), "app none": ("m", "phu_luc", "_default", None, None),
+    }
+    c = spark.createDataFrame([(k, *v) for k, v in cites.items()], "cite_id string, norm string, loai string, dieu string, khoan string, diem string")
+    assert dict(rows(validate.unresolved_levels(c, u), "cite_id", "level")) == {
+        "point": "diem", "clause": "khoan", "article": "dieu", "null": "dieu_missing", "blank": "dieu_missing", "norm": "van_ban", "no norm": "van_ban", "app clause": "phu_luc_khoan", "app no": "phu_luc", "app none": "phu_luc",
+    }
