@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Letters of other alphabets and their Latin look-alikes.
 CYRILLIC = "аАВсСԁеЕһНіІјЈКӏМоОрРԛѕЅТѵԝхХуҮ"
@@ -165,18 +164,24 @@ def canonical_rows(df: DataFrame, text: str) -> DataFrame:
     return grouped.mapInPandas(run, "table_name string, row_key string, canonical string")
 
 
-@F.pandas_udf(T.StringType())
-def skeleton_udf(text: pd.Series) -> pd.Series:
-    """Skeletons of texts."""
-    return text.map(skeleton, na_action="ignore")
-
-
 def skeleton_groups(df: DataFrame, text: str) -> DataFrame:
     """Originals grouped by equal skeleton: ``skeleton, n_forms, n_rows``, for groups with more than one form.
 
-    Repeats are counted first, so frequent texts cost one row per task, and groups are only counted, never
-    collected. Null texts have no group.
+    Forms and skeletons are compared by their hashes, so long texts are no longer on the way than short ones. Plain
+    texts, whose composed skeleton they are themselves, are hashed in the JVM; of two forms of a group one is no plain
+    text and brings the skeleton along. Repeats are counted first, so frequent texts cost one row per task, and groups
+    are only counted, never collected. Null texts have no group.
     """
-    forms = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("form")).agg(F.count(F.lit(1)).alias("n"))
-    keyed = forms.withColumn("skeleton", skeleton_udf("form"))
-    return keyed.groupBy("skeleton").agg(F.count("form").alias("n_forms"), F.sum("n").alias("n_rows")).where("n_forms > 1")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()
+        for b in batches:
+            looks = b["t"].map(look)
+            yield pd.DataFrame({"form": b["t"].map(digest), "look": looks.where(looks.notna(), b["t"]).map(digest), "s": looks.map(lambda s: unicodedata.normalize("NFD", s), na_action="ignore")})
+
+    every = df.select(F.col(text).alias("t")).where("t is not null")
+    plain = every.where(is_plain(F.col("t"))).select(F.md5("t").alias("form"))
+    known = plain.groupBy("form").agg(F.count(F.lit(1)).alias("n")).select("form", F.col("form").alias("look"), F.lit(None).cast("string").alias("s"), "n")
+    others = every.where(~is_plain(F.col("t"))).mapInPandas(run, "form string, look string, s string").groupBy("form", "look").agg(F.first("s").alias("s"), F.count(F.lit(1)).alias("n"))
+    groups = known.unionByName(others.select("form", "look", "s", "n")).groupBy("look").agg(F.first("s", ignorenulls=True).alias("skeleton"), F.count("form").alias("n_forms"), F.sum("n").alias("n_rows"))
+    return groups.where("n_forms > 1").select("skeleton", "n_forms", "n_rows")

@@ -50,7 +50,7 @@ def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalikes.skeleton_groups(table(spark, sf_dir, "candidate"), "term_norm")
+    return lookalikes.skeleton_groups(_texts(spark, sf_dir), "text")
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

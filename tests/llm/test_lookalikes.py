@@ -64,3 +64,13 @@ def test_found_rows_are_candidates_grouped_by_skeleton(spark):
     assert set(got) == {"1", "2", "4"} and got["1"] == got["2"] != got["4"]
     assert "hashpartitioning(look" in L.canonical_rows(df, "text")._jdf.queryExecution().toString()
     assert rows(L.canonical_rows(df, "text")) == [("t", "1", "có"), ("t", "4", "ó c"), ("u", "2", "có")]
+
+
+def test_groups_span_all_three_tables(spark, tmp_path):
+    from quern.llm.queries import QUERIES
+
+    long = "Điều " * 50000
+    for name, key, col, texts in [("eval_result", "result_id", "answer", ["có", long + "сó", None, "x"]), ("text_unit", "id", "text", ["сó", long + "có", "y"]), ("candidate", "cand_id", "term_norm", ["c\u200bó", "có", "z", "ｚ", "x"])]:
+        spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], f"{key} string, {col} string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = sorted((r.n_forms, r.n_rows, r.skeleton) for r in QUERIES["p6_groups"](spark, str(tmp_path)).collect())
+    assert got == sorted([(3, 4, L.skeleton("có")), (2, 2, L.skeleton(long + "có")), (2, 2, "z")])
