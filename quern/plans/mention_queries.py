@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import citations, mentions
-from quern.operators import metrics
+from quern.operators import metrics, validate
 from quern.plans.data_queries import _CURRENT
 from quern.plans.text_queries import ORACLE as TEXT_ORACLE
-from quern.plans.text_queries import norms
+from quern.plans.text_queries import APPENDIX_SQL, PLACE_SQL, TARGET_SQL, norms
 from quern.session import spread
 from quern.tables import table
 
@@ -95,6 +95,34 @@ def gold_contexts(spark, sf_dir):
     return lists.select("q", "n_units", F.md5(F.substring(F.array_join(F.transform("l", lambda x: x["text"]), "\n\n"), 1, 2200)).alias("context_md5"))
 
 
+@query(f"""WITH g AS (SELECT DISTINCT id AS q, lower(trim(c.van_ban)) AS v, c.loai AS loai, trim(c.dieu) AS dieu, trim(c.khoan) AS khoan, trim(c.diem) AS diem FROM (SELECT id, unnest(ground_truth_citations) AS c FROM eval_question)),
+h AS (SELECT *, {APPENDIX_SQL} AS app, {TARGET_SQL} AS target FROM g), u AS (SELECT id, lower(trim(norm_id)) AS v, {PLACE_SQL}, text FROM text_unit WHERE text IS NOT NULL),
+j AS (SELECT DISTINCT h.q, u.id, u.text FROM h JOIN u ON h.v = u.v AND (h.khoan IS NULL OR h.khoan = u.khoan) AND CASE WHEN h.app THEN u.pl IS NOT NULL AND (h.dieu = '_default' OR starts_with(u.pl, h.target) OR starts_with(h.target, u.pl))
+ELSE h.dieu = u.dieu AND (h.diem IS NULL OR h.diem = u.diem) END)
+SELECT q, count(*) AS n_units, md5(substr(string_agg(text, chr(10) || chr(10) ORDER BY id, text), 1, 2200)) AS context_md5 FROM j GROUP BY 1""")
+def cited_contexts(spark, sf_dir):
+    """The text of what a question's ground truth cites, down to points and in appendices too."""
+    return gold_texts(table(spark, sf_dir, "eval_question"), table(spark, sf_dir, "text_unit"))
+
+
+def gold_texts(questions: DataFrame, units: DataFrame) -> DataFrame:
+    """Texts of the leaves a question's ground truth names, put together: ``q, n_units, context_md5``.
+
+    Articles match by their number, appendices where one label begins with the other or '_default' takes any; clause and
+    point where they are named. The first 2200 characters count, as in the reference.
+    """
+    g = questions.select(F.col("id").alias("q"), F.explode("ground_truth_citations").alias("c"))
+    g = g.select("q", F.lower(F.trim("c.van_ban")).alias("v"), "c.loai", *[F.trim(f"c.{x}").alias(f"g_{x}") for x in ("dieu", "khoan", "diem")]).distinct()
+    u = units.where("text is not null").select("id", F.lower(F.trim("norm_id")).alias("v"), validate.leaf_place(F.col("context_path")).alias("p"), "text").select("id", "v", "p.*", "text")
+    appendix, clause = validate.is_appendix(F.col("loai"), F.col("g_dieu")), F.expr("g_khoan is null or g_khoan = khoan")
+    articles = g.where(~appendix).withColumn("dieu", F.col("g_dieu")).join(u, ["v", "dieu"]).where(clause & F.expr("g_diem is null or g_diem = diem"))
+    labelled = u.where("pl is not null").withColumn("pl", validate.appendix_label("pl"))
+    others = g.where(appendix).withColumn("target", validate.appendix_target(F.col("g_dieu"))).join(labelled, "v").where(clause & validate.labels_match(F.col("pl"), F.col("target"), F.col("g_dieu")))
+    j = articles.select("q", "id", "text").unionByName(others.select("q", "id", "text")).distinct()
+    lists = j.groupBy("q").agg(F.count(F.lit(1)).alias("n_units"), F.sort_array(F.collect_list(F.struct("id", "text"))).alias("l"))
+    return lists.select("q", "n_units", F.md5(F.substring(F.array_join(F.transform("l", lambda x: x["text"]), "\n\n"), 1, 2200)).alias("context_md5"))
+
+
 _GT = """gt AS (SELECT DISTINCT id AS q, lower(trim(c.van_ban)) AS v FROM (SELECT id, unnest(ground_truth_citations) AS c FROM eval_question) WHERE length(trim(c.van_ban)) > 0),
 got AS (SELECT DISTINCT question_id AS q, lower(trim(norm_id)) AS v FROM scored_text_unit WHERE question_id IS NOT NULL AND norm_id IS NOT NULL)"""
 

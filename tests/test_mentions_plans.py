@@ -79,3 +79,19 @@ def test_citations_resolve_by_point_and_appendix(spark):
     assert dict(rows(validate.unresolved_levels(c, u), "cite_id", "level")) == {
         "point": "diem", "clause": "khoan", "article": "dieu", "null": "dieu_missing", "blank": "dieu_missing", "norm": "van_ban", "no norm": "van_ban", "app clause": "phu_luc_khoan", "app no": "phu_luc", "app none": "phu_luc",
     }
+
+
+def test_gold_texts_of_points_and_appendices(spark):
+    import hashlib
+
+    from quern.plans.mention_queries import gold_texts
+
+    u = spark.createDataFrame([(str(i), *x) for i, x in enumerate(LEAVES)] + [("8", "N ", ["n", "Phụ lục II"], "t8"), ("9", "n", ["n", "Phụ lục"], None)], "id string, norm_id string, context_path array<string>, text string")
+    cites = {
+        "point": [("n", None, "1", "2", "đ")], "clause": [("n", "dieu", "1", "2", None)], "no point": [("n", "dieu", "1", "2", "x")], "app": [("n", "phu_luc", "II", None, None)], "prefix": [("n", "phu_luc", "I", None, None)],
+        "longer": [("n", None, "Phụ lục II: Mẫu", None, None)], "any": [("n", "phu_luc", "_default", None, None)], "app clause": [("n", "phu_luc", "_default", "3", None)], "null": [("n", "phu_luc", None, None, None), ("n", None, None, None, None)],
+        "both": [("n", "dieu", "1", "2", "a"), ("n", "phu_luc", "II", None, None), ("n", "phu_luc", "_default", None, None)],
+    }
+    q = spark.createDataFrame(list(cites.items()), "id string, ground_truth_citations array<struct<van_ban:string,loai:string,dieu:string,khoan:string,diem:string>>")
+    want = {"point": ["t1"], "clause": ["t1", "t2"], "app": ["t8"], "prefix": ["t4", "t8"], "longer": ["t8"], "any": ["t4", "t8"], "app clause": ["t4"], "both": ["t2", "t4", "t8"]}
+    assert rows(gold_texts(q, u)) == sorted([(k, len(v), hashlib.md5("\n\n".join(v).encode()).hexdigest()) for k, v in want.items()], key=repr)
