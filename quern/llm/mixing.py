@@ -5,17 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Blocks each source is cut into, and parts of the one block that is used in part.
 BLOCKS = 2048
-#: Tokens an output shard is to have, and most shards.
+#: Tokens an output shard is to have.
 SHARD_TOKENS = 2_000_000
-MAX_SHARDS = 512
-#: Most sources a target may name, and most copies of a record; with BLOCKS they bound every table on the driver.
-MAX_SOURCES = 64
-MAX_COPIES = 64
+#: Leaves of the splitting tree; a leaf with more than a shard's tokens is cut into shards by the hash of its records.
+LEAVES = 512
+#: Rows of the plan that are broadcast at most; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def source_key(c: Column) -> Column:
@@ -56,30 +57,61 @@ def splitting_tree(counts: np.ndarray, shards: int, rng: np.random.Generator) ->
     return out
 
 
-def quotas(tokens: dict[str, int], target: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
-    """Tokens each source gives: its share of the greatest total that no source's cap on repeats forbids, or of ``total`` if less."""
+def water_filled(caps: dict[str, float], weights: dict[str, float], total: float) -> dict[str, float]:
+    """The total divided by weights; a source over its cap gives all it may, and the others share the rest by their weights."""
+    given: dict[str, float] = {}
+    free = dict(weights)
+    while free:
+        level = (total - sum(given.values())) / sum(free.values())
+        over = {s: caps[s] for s, w in free.items() if w * level > caps[s]}
+        if not over:
+            return given | {s: w * level for s, w in free.items()}
+        given |= over
+        free = {s: w for s, w in free.items() if s not in over}
+    return given
+
+
+def quotas(tokens: dict[str, int], target: dict[str, tuple[float, int]], total: float | None = None, max_deviation: float = 0.0) -> dict[str, float]:
+    """Tokens each source gives, by water-filling the greatest total, or ``total`` if less, that keeps every share within ``max_deviation`` of its target.
+
+    With 0 the scarcest source decides the total and shares are exact. Targets are taken in proportion among the sources
+    that have tokens and may be used.
+    """
     live = {s: (w, r) for s, (w, r) in target.items() if w > 0 and r > 0 and tokens.get(s, 0) > 0}
+    if not live:
+        return {}
     weight = sum(w for w, _ in live.values())
-    most = min((r * tokens[s] / (w / weight) for s, (w, r) in live.items()), default=0.0)
-    most = most if total is None else min(most, total)
-    return {s: most * w / weight for s, (w, _) in live.items()}
+    weights = {s: w / weight for s, (w, _) in live.items()}
+    caps = {s: float(r * tokens[s]) for s, (_, r) in live.items()}
+
+    def near(t: float) -> bool:
+        return all(abs(q / t - weights[s]) <= max_deviation + 1e-12 for s, q in water_filled(caps, weights, t).items())
+
+    low, high = min(caps[s] / w for s, w in weights.items()), sum(caps.values())
+    if near(high):
+        low = high
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if near(mid) else (low, mid)
+    return water_filled(caps, weights, low if total is None else min(total, low))
 
 
-def mixture(sizes: DataFrame, target: DataFrame, total: float | None = None, seed: int = 7) -> DataFrame:
+def mixture(sizes: DataFrame, target: DataFrame, total: float | None = None, seed: int = 7, max_deviation: float = 0.0) -> DataFrame:
     """Records chosen for the mix: ``doc_id, source, copy, shard, pos, n_tokens``.
 
     ``sizes(doc_id, source, n_tokens)`` is read several times and should be materialised; ``target(source, target_share,
-    max_repeats)``. Each source gives its share of the greatest total its cap allows (or of ``total``), repeats
-    included; copies are numbered from 0. Shares of sources without tokens fall to the others in proportion; sources
-    no target names, and records without tokens, aren't used. Every number is a function of the seed.
+    max_repeats)``. The mix is as large as the caps on repeats allow while no source's share is further than
+    ``max_deviation`` from its target, beside the rounding to whole records, or has ``total`` tokens if that is less: a
+    source at its cap gives all it may, repeats included, and the others share what it lacks. Copies are numbered from 0. Shares of sources without tokens
+    fall to the others in proportion; sources no target names, and records without tokens, aren't used. Every number is
+    a function of the seed.
 
     Blocks are hash buckets of records, so a source with a third of all rows is spread like any other. On the driver there are
-    only token counts of blocks, at most MAX_SOURCES * BLOCKS, from which whole blocks are chosen up to each quota; one
-    last block is used up to a part of it.
+    only token counts of blocks, BLOCKS for each source the target names, from which whole blocks are chosen up to each
+    quota; one last block is used up to a part of it. The plan has a row for each block of each copy in use. Shards
+    follow the tokens: leaves of the tree with more than a shard's are cut by hash, so no task orders more than a shard.
     """
-    rows = target.groupBy(source_key(F.col("source")).alias("s")).agg(F.sum("target_share").alias("w"), F.max("max_repeats").alias("r")).where("s is not null").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES or any((r["r"] or 0) > MAX_COPIES for r in rows):
-        raise ValueError(f"more than {MAX_SOURCES} sources or {MAX_COPIES} copies")
+    rows = target.groupBy(source_key(F.col("source")).alias("s")).agg(F.sum("target_share").alias("w"), F.max("max_repeats").alias("r")).where("s is not null").collect()
     wanted = {r["s"]: (float(r["w"] or 0), int(r["r"] or 0)) for r in rows}
     block, part = _at(seed)
     marked = sizes.select("doc_id", source_key(F.col("source")).alias("source"), "n_tokens").where(F.col("source").isin(list(wanted)) & (F.col("n_tokens") > 0))
@@ -87,7 +119,7 @@ def mixture(sizes: DataFrame, target: DataFrame, total: float | None = None, see
     held: dict[str, np.ndarray] = {s: np.zeros(BLOCKS, np.int64) for s in wanted}
     for r in marked.groupBy("source", "block").agg(F.sum("n_tokens").alias("t")).collect():
         held[r["source"]][r["block"]] = r["t"]
-    want = quotas({s: int(t.sum()) for s, t in held.items()}, wanted, total)
+    want = quotas({s: int(t.sum()) for s, t in held.items()}, wanted, total, max_deviation)
 
     rng = np.random.default_rng(seed)
     colours: list[Colour] = []
@@ -126,19 +158,25 @@ def mixture(sizes: DataFrame, target: DataFrame, total: float | None = None, see
                 cut_at += 1
             colours[c].part_below = cut_at
 
-    shards = int(min(MAX_SHARDS, max(1, round(sum(want.values()) / SHARD_TOKENS))))
-    drawn = splitting_tree(np.array([len(c.blocks) for c in colours], np.int64), shards, rng) if colours else np.zeros((1, 0), np.int64)
-    plan = []
+    size = sum(want.values())
+    leaves = int(min(LEAVES, max(1, round(size / SHARD_TOKENS))))
+    shards_of_leaf = max(1, round(size / leaves / SHARD_TOKENS))
+    drawn = splitting_tree(np.array([len(c.blocks) for c in colours], np.int64), leaves, rng) if colours else np.zeros((1, 0), np.int64)
+    plan: dict[str, list[np.ndarray]] = {"source": [], "block": [], "copy": [], "leaf": [], "part_below": []}
     for j, c in enumerate(colours):
-        shard_of = np.repeat(np.arange(len(drawn)), drawn[:, j])
-        last = len(c.blocks) - 1
-        spread = rng.permutation(len(c.blocks))
-        plan += [(c.source, int(b), c.copy, int(shard_of[spread[i]]), c.part_below if i == last else BLOCKS) for i, b in enumerate(c.blocks)]
-    spark = sizes.sparkSession
-    placed = spark.createDataFrame(plan, "source string, block int, copy int, shard int, part_below int")
-    chosen = marked.join(F.broadcast(placed), ["source", "block"]).where("part < part_below")
+        n = len(c.blocks)
+        below = np.full(n, BLOCKS, np.int32)
+        below[n - 1 :] = c.part_below
+        for name, values in (("source", np.full(n, c.source, object)), ("block", c.blocks), ("copy", np.full(n, c.copy)), ("leaf", rng.permutation(np.repeat(np.arange(leaves), drawn[:, j]))), ("part_below", below)):
+            plan[name].append(values)
+    fields = pa.schema([("source", pa.string()), *((n, pa.int32()) for n in ("block", "copy", "leaf", "part_below"))])
+    columns = [pa.array(np.concatenate(plan[f.name]) if colours else [], f.type) for f in fields]
+    placed = sizes.sparkSession.createDataFrame(pa.Table.from_arrays(columns, schema=fields))
+    small = sum(len(c.blocks) for c in colours) <= BROADCAST_ROWS
+    chosen = marked.join(F.broadcast(placed) if small else placed, ["source", "block"]).where("part < part_below")
+    shard = F.col("leaf") * shards_of_leaf + F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id", "copy"), F.lit(shards_of_leaf)).cast("int")
     order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "doc_id", "copy"), "doc_id", "copy")
-    return chosen.select("doc_id", "source", "copy", "shard", F.row_number().over(order).alias("pos"), "n_tokens")
+    return chosen.withColumn("shard", shard).select("doc_id", "source", "copy", "shard", F.row_number().over(order).alias("pos"), "n_tokens")
 
 
 def share_report(mix: DataFrame, target: DataFrame) -> DataFrame:

@@ -98,3 +98,37 @@ def test_mixture_to_a_total_and_of_nothing(spark):
     assert abs(small.agg(F.sum("n_tokens")).first()[0] - 20_000) < 300
     assert mixing.mixture(sizes.limit(0), target).count() == 0 and mixing.mixture(sizes, target.limit(0)).count() == 0
     assert rows(mixing.share_report(mixing.mixture(sizes.limit(0), target), target), "source", "actual_share") == [("big", 0.0), ("mid", 0.0)]
+
+
+def test_water_filling_keeps_shares_near_their_targets():
+    target = {"scarce": (0.05, 4), "big": (0.6, 1), "mid": (0.35, 2), "absent": (0.2, 3)}
+    tokens = {"scarce": 10, "big": 6000, "mid": 900}
+    exact = mixing.quotas(tokens, target)
+    assert abs(exact["scarce"] - 40) < 1e-6 and abs(sum(exact.values()) - 800) < 1e-3
+    last = 0.0
+    for deviation in (0.01, 0.03, 0.05, 0.1, 0.3, 1.0):
+        got = mixing.quotas(tokens, target, max_deviation=deviation)
+        total = sum(got.values())
+        assert all(got[s] <= target[s][1] * n + 1e-6 for s, n in tokens.items()) and total >= last
+        assert all(abs(got[s] / total - target[s][0]) <= deviation + 1e-9 for s in got)
+        last = total
+    assert abs(last - (40 + 6000 + 1800)) < 1e-3
+    assert abs(sum(mixing.quotas(tokens, target, total=500, max_deviation=0.1).values()) - 500) < 1e-6
+
+
+def test_mixture_lets_scarce_sources_give_all(spark, monkeypatch):
+    sizes, docs = mix_data(spark)
+    target = spark.createDataFrame([("big", 0.2, 1), ("mid", 0.4, 1), ("small", 0.4, 2)], "source string, target_share double, max_repeats int")
+    exact = mixing.mixture(sizes, target).agg(F.sum("n_tokens")).first()[0]
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 4000)
+    monkeypatch.setattr(mixing, "LEAVES", 4)
+    got = mixing.mixture(sizes, target, max_deviation=0.1).collect()
+    tokens = {s: sum(r.n_tokens for r in got if r.source == s) for s in ("big", "mid", "small")}
+    total = sum(tokens.values())
+    assert total > 1.2 * exact and all(abs(tokens[s] / total - w) <= 0.103 for s, w in (("big", 0.2), ("mid", 0.4), ("small", 0.4)))
+    assert tokens["mid"] == sum(n or 0 for _, s, n in docs if s == " Mid ")
+    sums: dict = {}
+    for r in got:
+        sums[r.shard] = sums.get(r.shard, 0) + r.n_tokens
+    assert len(sums) > 30 and max(sums.values()) < 3 * 4000
+    assert all(sorted(r.pos for r in got if r.shard == s) == list(range(1, sum(r.shard == s for r in got) + 1)) for s in sums)
