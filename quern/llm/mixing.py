@@ -113,12 +113,16 @@ def mixture(sizes: DataFrame, target: DataFrame, total: float | None = None, see
     """
     rows = target.groupBy(source_key(F.col("source")).alias("s")).agg(F.sum("target_share").alias("w"), F.max("max_repeats").alias("r")).where("s is not null").collect()
     wanted = {r["s"]: (float(r["w"] or 0), int(r["r"] or 0)) for r in rows}
+    names = sorted(wanted)
     block, part = _at(seed)
-    marked = sizes.select("doc_id", source_key(F.col("source")).alias("source"), "n_tokens").where(F.col("source").isin(list(wanted)) & (F.col("n_tokens") > 0))
-    marked = marked.withColumn("block", block).withColumn("part", part)
+    # a source and a block as one number, on which the join is cheapest
+    at = {s: i * BLOCKS for i, s in enumerate(names)}
+    number = F.coalesce(*[F.when(F.col("source") == s, F.lit(i)) for s, i in at.items()]) if names else F.lit(0)
+    marked = sizes.select("doc_id", source_key(F.col("source")).alias("source"), "n_tokens").where(F.col("source").isin(names) & (F.col("n_tokens") > 0))
+    marked = marked.withColumn("slot", (number + block).cast("bigint")).withColumn("part", part)
     held: dict[str, np.ndarray] = {s: np.zeros(BLOCKS, np.int64) for s in wanted}
-    for r in marked.groupBy("source", "block").agg(F.sum("n_tokens").alias("t")).collect():
-        held[r["source"]][r["block"]] = r["t"]
+    for r in marked.groupBy("slot").agg(F.sum("n_tokens").alias("t")).collect():
+        held[names[r["slot"] // BLOCKS]][r["slot"] % BLOCKS] = r["t"]
     want = quotas({s: int(t.sum()) for s, t in held.items()}, wanted, total, max_deviation)
 
     rng = np.random.default_rng(seed)
@@ -145,9 +149,8 @@ def mixture(sizes: DataFrame, target: DataFrame, total: float | None = None, see
                 taken.append(end)
             colours.append(Colour(s, whole, np.array(taken, np.int64), BLOCKS))
     if ends:
-        which = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(b).alias("b")) for s, (_, b, _) in ends.items()])
         parts: dict[str, np.ndarray] = {s: np.zeros(BLOCKS, np.int64) for s in ends}
-        own = marked.where(F.exists(which, lambda x: (x["s"] == F.col("source")) & (x["b"] == F.col("block"))))
+        own = marked.where(F.col("slot").isin([at[s] + b for s, (_, b, _) in ends.items()]))
         for r in own.groupBy("source", "part").agg(F.sum("n_tokens").alias("t")).collect():
             parts[r["source"]][r["part"]] = r["t"]
         for s, (c, _, left) in ends.items():
@@ -162,18 +165,18 @@ def mixture(sizes: DataFrame, target: DataFrame, total: float | None = None, see
     leaves = int(min(LEAVES, max(1, round(size / SHARD_TOKENS))))
     shards_of_leaf = max(1, round(size / leaves / SHARD_TOKENS))
     drawn = splitting_tree(np.array([len(c.blocks) for c in colours], np.int64), leaves, rng) if colours else np.zeros((1, 0), np.int64)
-    plan: dict[str, list[np.ndarray]] = {"source": [], "block": [], "copy": [], "leaf": [], "part_below": []}
+    plan: dict[str, list[np.ndarray]] = {"slot": [], "copy": [], "leaf": [], "part_below": []}
     for j, c in enumerate(colours):
         n = len(c.blocks)
         below = np.full(n, BLOCKS, np.int32)
         below[n - 1 :] = c.part_below
-        for name, values in (("source", np.full(n, c.source, object)), ("block", c.blocks), ("copy", np.full(n, c.copy)), ("leaf", rng.permutation(np.repeat(np.arange(leaves), drawn[:, j]))), ("part_below", below)):
+        for name, values in (("slot", at[c.source] + c.blocks), ("copy", np.full(n, c.copy)), ("leaf", rng.permutation(np.repeat(np.arange(leaves), drawn[:, j]))), ("part_below", below)):
             plan[name].append(values)
-    fields = pa.schema([("source", pa.string()), *((n, pa.int32()) for n in ("block", "copy", "leaf", "part_below"))])
+    fields = pa.schema([("slot", pa.int64()), *((n, pa.int32()) for n in ("copy", "leaf", "part_below"))])
     columns = [pa.array(np.concatenate(plan[f.name]) if colours else [], f.type) for f in fields]
     placed = sizes.sparkSession.createDataFrame(pa.Table.from_arrays(columns, schema=fields))
     small = sum(len(c.blocks) for c in colours) <= BROADCAST_ROWS
-    chosen = marked.join(F.broadcast(placed) if small else placed, ["source", "block"]).where("part < part_below")
+    chosen = marked.join(F.broadcast(placed) if small else placed, "slot").where("part < part_below")
     shard = F.col("leaf") * shards_of_leaf + F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id", "copy"), F.lit(shards_of_leaf)).cast("int")
     order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "doc_id", "copy"), "doc_id", "copy")
     return chosen.withColumn("shard", shard).select("doc_id", "source", "copy", "shard", F.row_number().over(order).alias("pos"), "n_tokens")
