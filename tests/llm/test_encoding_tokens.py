@@ -98,3 +98,30 @@ def test_sizes_of_a_frame(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
     got = {r.doc_id: r.n_tokens for r in T.token_sizes(df, "text", ["doc_id"]).collect()}
     assert got[8] == got[9] == 0 and got[0] == 2
+
+
+def test_words_without_odd_signs_are_found(trained):
+    """Garbled words that are made of ordinary letters only, as single-byte codes give them."""
+    model, margins = trained
+    scorer = E.Scorer(model)
+    for good in ("được công nhận", "giấy chứng nhận", "trong thời hạn"):
+        bad = garble(good, "tcvn3")
+        assert E.restored(f"Theo biên bản {bad} mới.", scorer, margins) == (["tcvn3"], f"Theo biên bản {good} mới.")
+
+
+def test_all_passages_of_a_text_are_restored(trained):
+    model, margins = trained
+    scorer = E.Scorer(model)
+    clean = ["công nhận", "hồ sơ", "tại vùng", "địa phương"] * 1250
+    text = " ngày mới ký ngay ".join(garble(p, ("cp1252", "cp437", "mac_roman")[i % 3]) for i, p in enumerate(clean))
+    used, back = E.restored(text, scorer, margins)
+    assert back == " ngày mới ký ngay ".join(clean) and len(used) >= 3
+
+
+def test_margins_tell_clean_from_garbled():
+    from collections import Counter
+
+    # one garbled passage among the clean records doesn't move the margin over the planted ones
+    assert 8 <= E._margin(Counter({0: 990, 6: 9, 43: 1}), Counter({g: 50 for g in range(20, 60)}), 1000) <= 20
+    assert E._margin(Counter({0: 900, 30: 100}), Counter({g: 50 for g in range(20, 60)}), 1000) > 30
+    assert E._margin(Counter(), Counter(), 0) == E.LEAST_MARGIN
