@@ -11,24 +11,50 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other alphabets and their Latin look-alikes.
-CYRILLIC = "аАВсСԁеЕһНіІјЈКӏМоОрРԛѕЅТѵԝхХуҮ"
-CYRILLIC_AS = "aABcCdeEhHiIjJKlMoOpPqsSTvwxXyY"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ"
-GREEK_AS = "ABEZHIKMNOPTYXovcj"
-LATIN = "ÐƉɡɑ"
-LATIN_AS = "ĐĐga"
-# Ligatures that read like their letters.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+# Letters of other alphabets that look like a Latin letter, each with the letter.
+CYRILLIC = "аАВсСԁеЕһҺНіІјЈКӏӀМоОрРԛԚѕЅТѵѴԝԜхХуҮүԌ"
+CYRILLIC_AS = "aABcCdeEhhHiIjJKlIMoOpPqQsSTvVwWxXyYyG"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳϹͿ"
+GREEK_AS = "ABEZHIKMNOPTYXovcjCJ"
+ARMENIAN = "օՕհոսՍցքզլյՏ"
+ARMENIAN_AS = "oOhnuUgpqljS"
+CHEROKEE = "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏔᏙᏚᏞᏟᏢᏦᏧᏭᏴᏒᏎᏊ"
+CHEROKEE_AS = "DRTAJEWMHYGZWVSLCPKdGBR4b"
+LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_AS = "BPDTGKJCZFMNLSRVHWXYAEIOU"
+COPTIC = "ⲟⲞⲢⲣⲥⲤⲎⲒⲔⲘⲚⲦⲬⲂ"
+COPTIC_AS = "oOPpcCHIKMNTXB"
+# Latin letters that copy another.
+LATIN = "ÐƉɡɑᴄᴏᴠᴡᴢ"
+LATIN_AS = "ĐĐgacovwz"
+
+
+def _by_rule() -> dict[str, str]:
+    """Variants of letters and digits that read like them: bold, slanted and sans-serif letters of formulas, Roman numerals, ligatures and digraphs.
+
+    Taken from the character database. Script, black-letter and double-struck forms, raised, lowered, circled and
+    squared ones, fractions and signs look different and aren't among them.
+    """
+    out = {"ℎ": "h"}
+    for c in map(chr, [*range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), 0x132, 0x133, *range(0x2160, 0x2180), *range(0xFB00, 0xFB07), *range(0x1D400, 0x1D800)]):
+        kind = unicodedata.decomposition(c).partition(" ")[0]
+        plain_ = unicodedata.normalize("NFKC", c)
+        differs = re.search("SCRIPT|FRAKTUR|DOUBLE-STRUCK", unicodedata.name(c, ""))
+        if kind == "<font>" and re.fullmatch("[A-Za-z0-9]", plain_) and not differs or kind == "<compat>":
+            out[c] = plain_
+    return out
+
+
+LETTER_VARIANTS = _by_rule()
 # Characters that can't be seen, and spaces other than the ordinary one, as bodies of character classes.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯ㅤ︀-️﻿ﾠ"
 SPACES = "\u0085   -     　"
 
-FOREIGN = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS))
-PROTOTYPE = FOREIGN | dict(zip(LATIN, LATIN_AS)) | LIGATURES | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+FOREIGN = dict(zip(CYRILLIC + GREEK + ARMENIAN + CHEROKEE + LISU + COPTIC, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + CHEROKEE_AS + LISU_AS + COPTIC_AS))
+PROTOTYPE = FOREIGN | dict(zip(LATIN, LATIN_AS)) | LETTER_VARIANTS | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _PROTO = str.maketrans(PROTOTYPE)
-_ALWAYS = str.maketrans(dict(zip(LATIN, LATIN_AS)) | LIGATURES)
-_ODD = re.compile(f"[{LATIN}{''.join(LIGATURES)}]")
+_ALWAYS = str.maketrans(dict(zip(LATIN, LATIN_AS)) | LETTER_VARIANTS)
+_ODD = re.compile(f"[{LATIN}{''.join(LETTER_VARIANTS)}]")
 _INVISIBLE = re.compile(f"[{INVISIBLE}\U000e0000-\U000e0fff]")
 _SPACE = re.compile(f"[{SPACES}]")
 _WIDE = re.compile("[\uff01-\uff5e]+")
@@ -36,11 +62,12 @@ _CJK = "⺀-⿟、-ヿ㐀-鿿가-힣豈-﫿"
 _CJK_END, _CJK_START = re.compile(f"[{_CJK}]$"), re.compile(f"^[{_CJK}]")
 _WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
 _LATIN_LETTER = re.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]")
-_OTHER_LETTER = re.compile("[\u0370-\u03ff\u0400-\u052f]")
+#: Letters of the alphabets above: Greek, Cyrillic, Armenian, Cherokee, Coptic, Lisu.
+_OTHER_LETTER = re.compile("[\u0370-\u03ff\u0400-\u052f\u0531-\u0588\u13a0-\u13ff\u2c80-\u2cff\ua4d0-\ua4fd]")
 
 #: Characters that are their own canonical form: ASCII, precomposed Latin letters (without those that copy
 #: another letter) and signs that look like nothing else. A text made of these alone needs no closer look.
-PLAIN = "\\u0001-\\u007E\\u00A1-\\u00AC\\u00AE-\\u00CF\\u00D1-\\u0188\\u018A-\\u024F\\u1E00-\\u1EFF\\u2010-\\u2027\\u2030-\\u205E\\u20AC\\u2116\\u2150-\\u215E"
+PLAIN = "\\u0001-\\u007E\\u00A1-\\u00AC\\u00AE-\\u00CF\\u00D1-\\u0131\\u0134-\\u0188\\u018A-\\u01C3\\u01CD-\\u01F0\\u01F4-\\u024F\\u1E00-\\u1EFF\\u2010-\\u2027\\u2030-\\u205E\\u20AC\\u2116\\u2150-\\u215E"
 
 
 def skeleton(text: str | None) -> str | None:

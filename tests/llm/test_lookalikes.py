@@ -74,3 +74,11 @@ def test_groups_span_all_three_tables(spark, tmp_path):
         spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], f"{key} string, {col} string").write.parquet(str(tmp_path / f"{name}.parquet"))
     got = sorted((r.n_forms, r.n_rows, r.skeleton) for r in QUERIES["p6_groups"](spark, str(tmp_path)).collect())
     assert got == sorted([(3, 4, L.skeleton("có")), (2, 2, L.skeleton(long + "có")), (2, 2, "z")])
+
+
+def test_other_alphabets_and_variants_of_letters():
+    same = {"h\u0585 sơ": "ho sơ", "\U0001d407ồ sơ": "Hồ sơ", "\u217fột": "một", "\ua4e2ố": "Số", "\u13a0iều": "Diều", "hồ s\u2c9f": "hồ so", "Điều \u2163": "Điều IV", "v\u1d0f": "vo", "\u01c6 x": "dž x"}
+    assert {a: L.canonical(a) for a in same} == same
+    assert all(L.skeleton(a) == L.skeleton(b) and L.look(a) is not None for a, b in same.items())
+    kept = ["\u0540\u0561\u0575\u0561\u057d\u057f\u0561\u0576", "\u13e3\u13b3\u13a9", "\u2115 \u211d \u2460 \u2103"]
+    assert [L.canonical(k) for k in kept] == kept
