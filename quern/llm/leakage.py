@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -86,6 +87,7 @@ def edited(base: np.ndarray, kinds: tuple[int, ...], places: tuple[int, ...], rn
     return out
 
 
+@cache
 def tables_needed(max_edits: int, recall: float = 0.95, window: int = WINDOW, sampled: int = SAMPLED, trials: int = 200) -> int:
     """Repetitions after which a pair within ``max_edits`` edits of words is proposed with the target recall.
 
@@ -192,8 +194,9 @@ class Items:
         top = len(seen) - 1
         return seen[np.minimum(starts + self.window + max_edits - n + 1, top)] > seen[np.minimum(starts, top)]
 
-    def found(self, codes: np.ndarray, starts: np.ndarray, max_edits: int, room: np.ndarray | None = None) -> set[tuple[int, int]]:
-        """(start, item) of windows proposed by any repetition and within the edit distance; ``room`` as in ``Walk.keys``."""
+    def found(self, codes: np.ndarray, starts: np.ndarray, max_edits: int, room: np.ndarray | None = None, within: int | None = None) -> set[tuple[int, int]]:
+        """(start, item) of windows proposed by any repetition and verified ``within`` so many edits, else ``max_edits``; ``room`` as in ``Walk.keys``."""
+        within = max_edits if within is None else within
         out: set[tuple[int, int]] = set()
         if not len(self.starts) or not len(starts):
             return out
@@ -215,24 +218,24 @@ class Items:
                 pairs = np.union1d(pairs, np.repeat(hit, n) * len(self.starts) + theirs)
             for at in range(0, len(pairs), CHUNK):
                 mine, theirs = np.divmod(pairs[at : at + CHUNK], len(self.starts))
-                a = codes[np.minimum(part[mine][:, None] + np.arange(self.window + max_edits), len(codes) - 1)]
+                a = codes[np.minimum(part[mine][:, None] + np.arange(self.window + within), len(codes) - 1)]
                 b = self.codes[self.starts[theirs][:, None] + np.arange(self.window)]
                 same = (a[:, : self.window] == b).all(1) & (left_over[mine] >= self.window)
-                if max_edits:
+                if within:
                     rest = np.flatnonzero(~same)
-                    same[rest] = prefix_edits(a[rest], b[rest], left_over[mine][rest], max_edits) <= max_edits
+                    same[rest] = prefix_edits(a[rest], b[rest], left_over[mine][rest], within) <= within
                 out.update(zip(part[mine[same]].tolist(), self.owner[theirs[same]].tolist()))
         return out
 
 
-def leaks(texts: DataFrame, items: DataFrame, max_edits: int = 0, recall: float = 0.95, window: int = WINDOW, shared_windows: int = SHARED_WINDOWS) -> DataFrame:
+def leaks(texts: DataFrame, items: DataFrame, max_edits: int = 0, recall: float = 0.95, window: int = WINDOW, shared_windows: int = SHARED_WINDOWS, within: int | None = None) -> DataFrame:
     """Texts that hold a window of an item: ``sample_id, item_id, n_windows``.
 
     ``texts(sample_id, text)``, several rows of a sample being texts by themselves; ``items(item_id, text)``. A leak is
     a window of ``window`` consecutive words of the item that stands in the text with at most ``max_edits`` words
     inserted, deleted or changed, so up to as many words longer or shorter there; n_windows counts the words of the
-    sample's texts from which on such a window stands. Words are compared without case,
-    accents, punctuation, markup and invisible characters. Null, empty and short texts and items have no windows.
+    sample's texts from which on such a window stands. ``within`` asks the exact check for fewer edits than the
+    candidates allow for. Words are compared without case, accents, punctuation, markup and invisible characters. Null, empty and short texts and items have no windows.
 
     Items are the query set: their windows go to every task, at most ``shared_windows`` at a time, which is counted
     first; a larger set is worked off in blocks of items, each against all texts. Every text is read whole.
@@ -246,11 +249,12 @@ def leaks(texts: DataFrame, items: DataFrame, max_edits: int = 0, recall: float
 
     def one(block: int) -> DataFrame:
         rows = distinct.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        # the index is made once and read by every task
+        shared = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], window, reps))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known: dict[str, int] = {}
-            index = Items(*shared.value, window, reps)
+            index = shared.value
             for b in batches:
                 codes: list[int] = []
                 starts, rooms, owner_at = [], [], []
@@ -268,7 +272,7 @@ def leaks(texts: DataFrame, items: DataFrame, max_edits: int = 0, recall: float
                                 known.clear()
                             c = known[x] = word_code(x)
                         codes.append(c)
-                hits = index.found(np.array(codes, np.uint64), np.concatenate(starts), max_edits, np.concatenate(rooms)) if starts else None
+                hits = index.found(np.array(codes, np.uint64), np.concatenate(starts), max_edits, np.concatenate(rooms), within) if starts else None
                 if hits:
                     at = np.array([h[0] for h in hits])
                     rows = np.searchsorted(np.array(owner_at), at, "right") - 1

@@ -1,6 +1,8 @@
+import os
 import random
 
 import numpy as np
+import pytest
 from conftest import rows
 
 from quern.llm import leakage
@@ -111,3 +113,33 @@ def test_inserted_and_deleted_words_are_near_leaks(spark):
         for at in range(10):
             some = {x for x in want if x[0].startswith(kind) and x[0].endswith(f".{at}")}
             assert len(some) == 60 and len(got & some) >= 0.85 * 60, (kind, at, len(got & some))
+
+
+def test_candidates_with_edits_lose_no_exact_leak(spark):
+    texts, items = data(4, 5)
+    t, i = frames(spark, texts, items)
+    want = rows(leakage.leaks(t, i, window=5), "sample_id", "item_id", "n_windows")
+    assert want and rows(leakage.leaks(t, i, max_edits=1, window=5, within=0), "sample_id", "item_id", "n_windows") == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_recall_on_edits_planted_into_the_samples(spark):
+    """One word of 10 of a real question is inserted, deleted or changed, and stands inside a real context."""
+    rng = random.Random(6)
+    items = [(r.id, r.question) for r in spark.read.parquet("/root/testdata/sf0.1/eval_question.parquet").select("id", "question").distinct().collect()]
+    contexts = [r.context for r in spark.read.parquet("/root/testdata/sf0.1/train_sample.parquet").where("context is not null").select("context").limit(500).collect()]
+    texts, want = [], set()
+    for n in range(1500):
+        i, q = rng.choice([x for x in items if len(words(x[1])) >= 10])
+        w = words(q)
+        at, k = rng.randrange(len(w) - 9), rng.randrange(10)
+        part, kind = w[at : at + 10], n % 3
+        part[k : k + (kind != 0)] = [] if kind == 1 else [f"khac{n}"]
+        c = rng.choice(contexts).split()
+        m = rng.randrange(len(c) + 1)
+        texts.append((f"t{n}", " ".join([*c[:m], *part, *c[m:]])))
+        want.add((f"t{n}", i))
+    t, i = frames(spark, texts, items)
+    got = {r[:2] for r in rows(leakage.leaks(t, i, max_edits=1), "sample_id", "item_id")}
+    assert len(got & want) >= 0.9 * len(want)
+    print(f"recall {len(got & want) / len(want):.3f}")
