@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Items that are partitioned together; more give fuller containers and cost more.
 ITEMS_PER_BLOCK = 1024
-#: Most rows a table of container kinds may have.
-MAX_SPECS = 1000
+#: Part of the capacity from which on a window that differencing made is kept.
+FULL = 0.98
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -51,11 +51,11 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def _best_fit(items: list[int], sizes: list[int], k: int, capacity: int) -> list[list[int]] | None:
-    """Items, largest first, each into the fullest of k windows it fits; None where one fits nowhere."""
+def _best_fit(sizes: list[int], k: int, capacity: int) -> list[list[int]] | None:
+    """Items by index, largest first, each into the fullest of k windows it fits; None where one fits nowhere."""
     out: list[list[int]] = [[] for _ in range(k)]
     room = [(capacity, w) for w in range(k)]
-    for i in sorted(items, key=sizes.__getitem__, reverse=True):
+    for i in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
         at = bisect_left(room, (sizes[i], -1))
         if at == len(room):
             return None
@@ -65,62 +65,52 @@ def _best_fit(items: list[int], sizes: list[int], k: int, capacity: int) -> list
     return out
 
 
-def _mend(windows: list[list[int]], sizes: list[int], k: int, capacity: int) -> list[list[int]] | None:
-    """Windows over capacity are refilled together with the emptiest others, as few as do; None where all of them don't.
+def pack(sizes: list[int], capacity: int, full: float = FULL) -> list[list[int]]:
+    """Items by index in few windows within capacity. No item may be larger than capacity.
 
-    Differencing spreads the free space thinly over all windows; refilling a few by best fit gathers it where it is needed.
+    Differencing is applied to all items, then again and again to those of windows it left over capacity or less than
+    ``full``; windows in between are kept. Few large items to a window can't be made nearly equal, so in the end
+    differencing fills no window any more; the items left are placed by best fit, the window count rising until they fit.
     """
-    sums = [sum(sizes[i] for i in w) for w in windows]
-    over = [w for w, s in enumerate(sums) if s > capacity]
-    if not over:
-        return windows
-    rest = sorted((w for w, s in enumerate(sums) if s <= capacity), key=sums.__getitem__)
-    n = len(over)
-    while True:
-        pool = over + rest[:n]
-        new = _best_fit([i for w in pool for i in windows[w]], sizes, len(pool) + k - len(windows), capacity)
-        if new is not None:
-            return [windows[w] for w in rest[n:]] + new
-        if n >= len(rest):
-            return None
-        n *= 2
-
-
-def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Items by index in as few windows within capacity as differencing finds. No item may be larger than capacity."""
-    if not sizes:
-        return []
-    least = max(1, -(-sum(sizes) // capacity))
-    k, best, failed = least, None, least - 1
-    while best is None:
-        best = _mend(differencing(sizes, k), sizes, k, capacity)
-        if best is None:
-            failed, k = k, min(len(sizes), max(k + 1, k + k // 64))
-    high = k
-    while high - failed > 1:  # between the last count that was exceeded and the first that held
-        k = (high + failed) // 2
-        if found := _mend(differencing(sizes, k), sizes, k, capacity):
-            best, high = found, k
-        else:
-            failed = k
-    return [w for w in best if w]
+    out: list[list[int]] = []
+    rest = list(range(len(sizes)))
+    while rest:
+        left = [sizes[i] for i in rest]
+        windows = [w for w in differencing(left, max(1, -(-sum(left) // capacity))) if w]
+        sums = [sum(left[j] for j in w) for w in windows]
+        if max(sums) > capacity:
+            windows = [w for w, s in zip(windows, sums) if full * capacity <= s <= capacity]
+        if not windows:
+            break
+        out += [[rest[j] for j in w] for w in windows]
+        gone = {j for w in windows for j in w}
+        rest = [i for j, i in enumerate(rest) if j not in gone]
+    if rest:
+        left = [sizes[i] for i in rest]
+        k = -(-sum(left) // capacity)
+        while (found := _best_fit(left, k, capacity)) is None:
+            k += 1
+        out += [[rest[j] for j in w] for w in found if w]
+    return out
 
 
 SCHEMA = "spec_id int, container_id string, doc_id bigint, piece int, n_tokens bigint"
 
 
+def _kinds(specs: DataFrame) -> DataFrame:
+    return specs.where("capacity_tokens > 0").groupBy("spec_id").agg(F.min("capacity_tokens").alias("capacity_tokens"))
+
+
 def containers(sizes: DataFrame, specs: DataFrame, n_items: int, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """An assignment of items to containers: ``spec_id, container_id, doc_id, piece, n_tokens``.
 
     ``sizes(doc_id, n_tokens)``; ``specs(spec_id, capacity_tokens)``, each kind of container is filled with all
     items. An item within capacity is one piece, 0. A larger one is split into full pieces, each a container of its
     own, and a last piece that is packed like an item. Items of size 0 or null take no room and give no row; kinds
-    with a null or non-positive capacity have no containers. ``n_items`` sets the number of blocks: a hash spreads items over
+    with a null or non-positive capacity have no containers, one that is listed with several has the least of them. ``n_items`` sets the number of blocks: a hash spreads items over
     blocks of about ``items_per_block``, and each is partitioned by itself, so no group grows with the data.
     """
-    rows = specs.where("capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct().limit(MAX_SPECS + 1).collect()
-    if len(rows) > MAX_SPECS:
-        raise ValueError(f"more than {MAX_SPECS} kinds of containers")
+    rows = _kinds(specs).collect()
     kinds = F.array(*[F.struct(F.lit(r[0]).cast("int").alias("spec_id"), F.lit(r[1]).cast("bigint").alias("capacity")) for r in rows])
     blocks = max(1, -(-n_items // items_per_block))
     items = sizes.where("n_tokens > 0").select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_tokens")
@@ -150,7 +140,7 @@ def fill_report(assignment: DataFrame, specs: DataFrame) -> DataFrame:
     """How well each kind is filled: ``spec_id, n_containers, n_tokens, least_containers, fill_share``."""
     each = assignment.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("t"))
     total = each.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("n_tokens"))
-    named = total.join(F.broadcast(specs.select("spec_id", "capacity_tokens").distinct().limit(MAX_SPECS)), "spec_id")
+    named = total.join(_kinds(specs), "spec_id")
     return named.select(
         "spec_id",
         "n_containers",

@@ -132,3 +132,23 @@ def test_mixture_lets_scarce_sources_give_all(spark, monkeypatch):
         sums[r.shard] = sums.get(r.shard, 0) + r.n_tokens
     assert len(sums) > 30 and max(sums.values()) < 3 * 4000
     assert all(sorted(r.pos for r in got if r.shard == s) == list(range(1, sum(r.shard == s for r in got) + 1)) for s in sums)
+
+
+def test_most_windows_come_from_differencing_where_items_are_small():
+    rng = random.Random(4)
+    sizes = [min(1000, int(rng.expovariate(1 / 60)) + 1) for _ in range(1024)]
+    out = packing.pack(sizes, 1000)
+    assert sorted(i for w in out for i in w) == list(range(1024)) and len(out) <= 1.02 * -(-sum(sizes) // 1000)
+    # large items beside each other can't be made equal; best fit takes over
+    large = [rng.randrange(400, 700) for _ in range(400)]
+    got = packing.pack(large, 1000)
+    assert all(sum(large[i] for i in w) <= 1000 for w in got) and sorted(i for w in got for i in w) == list(range(400))
+    bare = next(k for k in range(-(-sum(large) // 1000), 401) if all(sum(large[i] for i in w) <= 1000 for w in packing.differencing(large, k)))
+    assert len(got) <= bare
+
+
+def test_a_kind_with_several_capacities_has_the_least(spark):
+    sizes = spark.createDataFrame([(i, 40) for i in range(10)], "doc_id long, n_tokens long")
+    specs = spark.createDataFrame([(1, 100), (1, 80), (2, 100)], "spec_id int, capacity_tokens int")
+    report = rows(packing.fill_report(packing.containers(sizes, specs, 10), specs), "spec_id", "n_containers", "least_containers")
+    assert report == [(1, 5, 5), (2, 5, 4)]
