@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,8 +18,12 @@ from quern.llm.lookalikes import canonical
 from quern.llm.words import words
 from quern.session import spread
 
-#: Bytes an answer may cost beyond its question, and a question beyond its answer, to be a copy.
-COPY_BYTES = 24
+#: Bytes that stand for a word when pairs are compressed; no compressor shortens them but by finding the word again.
+WORD_BYTES = 16
+#: An answer is a copy where it costs at most this part of the bytes of the shorter text given its question, and the
+#: question as little given the answer, beside the bytes that any match costs.
+COPY_SHARE = 0.1
+MATCH_BYTES = 8
 #: A kind of end is taken for broken where broken answers explain at least this share of it.
 BROKEN_SHARE = 0.4
 #: Kinds of end with less than this share of cuts are never judged.
@@ -44,25 +49,36 @@ FILLERS = (
     "mong ban thong cam", "ban co the dat cau hoi khac", "hay thu lai", "vui long lien he", "moi ban hoi", "xin loi", "rat tiec", "cam on ban", "xin cam on", "vui long cung cap",
     "please try again", "please contact", "sorry", "please consult", "merci",
 )
-# Frequent words by language; Vietnamese ones with and without accents.
+# Words without a meaning of their own by language, the same as in any text; Vietnamese ones with and without accents.
 FUNCTION_WORDS = {
     "vi": (
         "và của là có không được cho các những một trong khi nếu theo tại về từ với này đó để phải thì sau trước người đã sẽ đang hoặc như còn nay vì do đến ra vào nào ai gì mà cũng"
-        " hồ sơ đất ngày thời hạn quy định điều khoản cơ quan bản giấy thực hiện nhận"
+        " bị bởi nhưng rất nên đây ấy rằng trên dưới giữa ngoài lên xuống vẫn đều chỉ chưa tôi chúng ta họ nó mình bao nhiêu mấy hơn nữa lại rồi sự việc cùng mỗi từng"
     ),
     "vi_bare": (
         "va cua co khong duoc cho cac nhung mot trong khi neu theo tai ve tu voi nay de phai thi sau truoc nguoi da se dang hoac nhu con vi do den ra vao nao ai gi ma cung"
-        " ho so dat ngay thoi han quy dinh dieu khoan co quan ban giay thuc hien nhan"
+        " bi boi rat nen day ay rang tren duoi giua ngoai len xuong van deu chi chua toi chung ta ho no minh bao nhieu may hon nua lai roi su viec moi tung"
     ),
     "en": (
         "the of and to in is that for it as with on be by at this must may not from or an are was if unless which has have after before when within each any should shall can so what who"
-        " my a i we do only left"
+        " my a i we do you your he she they them his her its our their were been will would could had did does there here how where why no yes than then only into about over under between"
     ),
-    "fr": "le la les de des du et un une est dans pour que qui sur au aux par ne pas doit ou si ce cette avec dans sont il elle en à délai peut sauf chaque d l après",
-    "es": "el los las y una es en para por con no se que del al su como o si debe sin",
-    "de": "der die das und ist nicht ein eine mit für auf den dem zu von im wenn muss oder nach",
+    "fr": (
+        "le la les de des du et un une est dans pour que qui sur au aux par ne pas doit ou si ce cette avec dans sont il elle en à peut sauf chaque d l après"
+        " je tu nous vous ils elles leur son sa ses mon ma mes été être avoir fait plus mais comme où quand avant sans sous entre"
+    ),
+    "es": "el la los las y una es en para por con no se que del al su como o si debe sin de un lo más pero sus le ya este sí porque esta entre cuando muy sobre también me hasta hay donde",
+    "de": "der die das und ist nicht ein eine mit für auf den dem zu von im wenn muss oder nach des sich auch es an werden aus er hat dass sie bei um noch wie einem über einen so zum war",
+    "it": "il lo la i gli le di del della dei delle e è un una in per con non che si da dal alla al come ma se sono nel nella più anche questo deve",
+    "pt": "o a os as de do da dos das e é um uma em no na nos nas para por com não que se ao mais como mas foi ele sua ou ser quando muito há já está também só pelo pela deve",
+    "nl": "de het een en van in is dat op te zijn met voor niet aan er om ook als dan maar bij nog uit door over naar hij zij wordt moet of deze",
+    "pl": "i w z na do nie się jest to że o jak za od po przez dla oraz który są być lub tego tym może czy",
+    "id": "yang dan di ke dari untuk dengan pada adalah ini itu tidak dalam akan oleh atau juga sebagai harus dapat telah",
 }
-_FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_FUNCTION: dict[str, tuple[str, ...]] = {}
+for _language, _listed in FUNCTION_WORDS.items():
+    for _w in set(_listed.split()):
+        _FUNCTION[_w] = (*_FUNCTION.get(_w, ()), _language)
 
 _CITATION = re.compile(r"\[[^\[\]]*\]?|\((?:xem|see)[^()]*\)|^\s*[|].*$", re.M)
 _QUOTE = re.compile("“[^”]*”?|«[^»]*»?|\"[^\"]*\"")
@@ -90,7 +106,11 @@ def language(text: str) -> str:
         for name, rx in _SCRIPTS:
             if len(rx.findall(t)) * 2 > letters:
                 return name
-    n = Counter({k: sum(map(v.__contains__, tokens)) for k, v in _FUNCTION.items()})
+    n = Counter(dict.fromkeys(FUNCTION_WORDS, 0))
+    for found in map(_FUNCTION.get, tokens):
+        if found:
+            for k in found:
+                n[k] += 1
     marked = len(_MARKED.findall(t))
     vi = max(n.pop("vi") + marked / 2, n.pop("vi_bare") * (0.9 if not marked else 0.5))
     name, most = n.most_common(1)[0]
@@ -105,12 +125,42 @@ def _cost(text: bytes, given: bytes) -> int:
     return len(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False).compress(text)) - 9
 
 
+@lru_cache(maxsize=200_000)
+def _word_code(word: str) -> bytes:
+    return hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()
+
+
+def _allowed(n_words: int) -> float:
+    return MATCH_BYTES + COPY_SHARE * WORD_BYTES * n_words
+
+
 def copies(question: list[str], answer: list[str]) -> bool:
-    """True if an answer says nothing beyond its question: each compresses to almost nothing given the other."""
-    if len(question) < 4 or not 0.5 * len(question) <= len(answer) <= 3.5 * len(question) + 8:
+    """True if an answer says nothing beyond its question, of whatever length and however often: each costs almost nothing given the other."""
+    if not question or not answer:
         return False
-    q, a = " ".join(question).encode(), " ".join(answer).encode()
-    return _cost(a, q) <= COPY_BYTES and _cost(q, a) <= COPY_BYTES
+    q, a = b"".join(map(_word_code, question)), b"".join(map(_word_code, answer))
+    most = _allowed(min(len(question), len(answer)))
+    return _cost(a, q) <= most and _cost(q, a) <= most
+
+
+def may_copy(question: list[str], answer: str, step: int = 400) -> bool:
+    """False only where an answer can't be a copy: each of its words the question doesn't have costs all its bytes, so with too many of them it isn't one.
+
+    The answer is read until there are too many; an answer that is a copy is read to its end.
+    """
+    if not question:
+        return False
+    known, new, most = set(question), set(), _allowed(len(question)) / WORD_BYTES
+    at = 0
+    while at < len(answer):
+        end = at + step
+        while end < len(answer) and not answer[end].isspace():
+            end += 1
+        new.update(w for w in words(answer[at:end]) if w not in known)
+        if len(new) > most:
+            return False
+        at = end
+    return True
 
 
 def is_empty(text: str | None) -> bool:
@@ -222,9 +272,8 @@ def defects(question: str | None, answer: str | None, expects_refusal: bool, mod
     asked_words, asked = _question(question or "")
     a = canonical(answer)
     found = []
-    # an answer of another size is no copy
-    near = len(a) <= 4 * len(question or "") + 80
-    copied = near and copies(asked_words, words(_LEAD.sub("", a)))
+    said = _LEAD.sub("", a)
+    copied = may_copy(asked_words, said) and copies(asked_words, words(said))
     if copied:
         found.append("copies_question")
     refused = is_refusal(a)

@@ -63,3 +63,20 @@ def test_frame(spark):
     df = spark.createDataFrame([(i, Q, a, None, 1) for i, a in enumerate(ANSWERS)] + [(900, None, None, None, 1), (901, Q, Q, "negative", 1), (901, Q, Q, "negative", 1)], "result_id long, question string, answer string, gap_type string, key int")
     assert rows(pairs.broken_pairs(df)) == [(900, "empty"), (901, "copies_question"), (901, "copies_question")]
     assert pairs.broken_pairs(df.limit(0)).count() == 0
+
+
+def test_copies_of_any_length():
+    q = lambda t: pairs.words(t)
+    long = "Người thừa kế phải nộp hồ sơ gì tại xã khi sổ đã mất?"
+    for question, answer in (("Ai nộp?", "Ai nộp"), ("Phí nào?", "Phí nào?"), ("Phí?", "phi"), (long, " ".join([long] * 5)), (long, " ".join([long] * 300)), (long, long.upper())):
+        assert pairs.may_copy(q(question), answer) and pairs.copies(q(question), q(answer)), answer[:40]
+    other = "Cơ quan tiếp nhận kiểm tra giấy tờ rồi hẹn ngày trả kết quả cho gia đình."
+    for question, answer in (("Ai nộp?", "Cha nộp"), ("Ai nộp?", "Chủ đất"), (long, f"{long} {other}"), (long, other), (long, "hồ sơ gì"), (long, " ".join([long, *(f"điểm{i}" for i in range(9))]))):
+        assert not (pairs.may_copy(q(question), answer) and pairs.copies(q(question), q(answer))), answer[:40]
+    assert not pairs.copies([], []) and not pairs.copies(["a"], [])
+
+
+def test_languages_beyond_those_of_the_tables():
+    for name, text in (("it", "Il documento deve essere presentato entro il termine e non è più valido."), ("pt", "O requerimento deve ser entregue até ao fim do prazo e não pode ser alterado."), ("nl", "De aanvraag moet binnen de termijn worden ingediend en is niet geldig."), ("de", "Der Antrag muss bis zum Ende der Frist bei dem Amt sein."), ("pl", "Wniosek należy złożyć do urzędu i nie może być zmieniony, jak to jest w ustawie."), ("id", "Permohonan ini harus diajukan kepada kantor dan tidak dapat diubah.")):
+        assert pairs.language(text) == name
+    assert pairs.language("Hồ sơ đất đai") == "vi" and pairs.language("12/2024") == ""
