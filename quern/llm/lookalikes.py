@@ -54,7 +54,8 @@ FOREIGN = dict(zip(CYRILLIC + GREEK + ARMENIAN + CHEROKEE + LISU + COPTIC, CYRIL
 PROTOTYPE = FOREIGN | dict(zip(LATIN, LATIN_AS)) | LETTER_VARIANTS | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _PROTO = str.maketrans(PROTOTYPE)
 _ALWAYS = str.maketrans(dict(zip(LATIN, LATIN_AS)) | LETTER_VARIANTS)
-_ODD = re.compile(f"[{LATIN}{''.join(LETTER_VARIANTS)}]")
+#: Finds texts that may hold one of them.
+_ODD = re.compile(f"[{LATIN}ℎ\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3\u2160-\u217f\ufb00-\ufb06\U0001d400-\U0001d7ff]")
 _INVISIBLE = re.compile(f"[{INVISIBLE}\U000e0000-\U000e0fff]")
 _SPACE = re.compile(f"[{SPACES}]")
 _WIDE = re.compile("[\uff01-\uff5e]+")
@@ -68,6 +69,7 @@ _OTHER_LETTER = re.compile("[\u0370-\u03ff\u0400-\u052f\u0531-\u0588\u13a0-\u13f
 #: Characters that are their own canonical form: ASCII, precomposed Latin letters (without those that copy
 #: another letter) and signs that look like nothing else. A text made of these alone needs no closer look.
 PLAIN = "\\u0001-\\u007E\\u00A1-\\u00AC\\u00AE-\\u00CF\\u00D1-\\u0131\\u0134-\\u0188\\u018A-\\u01C3\\u01CD-\\u01F0\\u01F4-\\u024F\\u1E00-\\u1EFF\\u2010-\\u2027\\u2030-\\u205E\\u20AC\\u2116\\u2150-\\u215E"
+_NOT_PLAIN = re.compile(f"[^{PLAIN}]")
 
 
 def skeleton(text: str | None) -> str | None:
@@ -126,8 +128,8 @@ def canonical(text: str | None) -> str | None:
     Invisible characters go, other spaces and wide forms become the ordinary ones, look-alike letters inside Latin
     words become Latin, accents are composed.
     """
-    if text is None:
-        return None
+    if text is None or not _NOT_PLAIN.search(text):
+        return text
     t = _INVISIBLE.sub("", text)
     t = _WIDE.sub(_narrow, _SPACE.sub(_space, t))
     t = unicodedata.normalize("NFC", t.translate(_ALWAYS) if _ODD.search(t) else t)
