@@ -1,8 +1,12 @@
 """Parent-child links turned into full hierarchies: paths, depths, roots, descendants and cycles.
 
-Nodes are cut into short runs by hash splitters. Every node walks to its next splitters (a few joins, all nodes at
-once), the reduced graph of splitters is solved by doubling, and exact paths are put together from the pieces, so
-the number of rounds follows the length of runs and the logarithm of the depth, not the depth.
+Nodes from which a way up never ends are peeled off first, with tables no larger than the links. What is left has no
+cycles: its nodes are cut into short runs by hash splitters, every node walks to its next splitters (a few joins, all
+nodes at once), the reduced graph of splitters is solved by doubling, and exact paths are put together from the
+pieces, so the number of rounds follows the length of runs and the logarithm of the depth, not the depth.
+
+Joins on a parent are sort-merge joins that adaptive execution splits where a parent has a great share of all links;
+their other side has one row a node, but for the ways up from a splitter, which the output lists anyway.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from quern.session import cut
 
 #: One node in so many is a splitter.
 SPLITTER_EVERY = 3
+#: Steps of a walk between two cuts of the lineage.
+STEPS = 3
 
 
 def is_splitter(node: Column, every: int = SPLITTER_EVERY) -> Column:
@@ -26,100 +32,148 @@ def _empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-def _edges(nodes: DataFrame, links: DataFrame, every: int) -> DataFrame:
-    """Links with ``root`` (the parent has no parents) and ``stop`` (a walk ends at the parent)."""
-    has_parent = links.select(F.col("child").alias("parent")).distinct().withColumn("inner", F.lit(True))
-    marked = links.join(has_parent, "parent", "left").withColumn("root", F.col("inner").isNull())
-    return marked.select("child", "parent", "root", (F.col("root") | is_splitter(F.col("parent"), every)).alias("stop"))
+def endless(links: DataFrame) -> DataFrame:
+    """Nodes from which a way from child to parent never ends: ``node``.
 
+    Round by round, links to a parent without parents are dropped, and a link to a parent with a single one is moved up
+    to that, so chains shrink by half each time. Neither makes a way that ends endless, nor the other way round. Links only
+    get fewer, and as long as there is a way that ends one of them is dropped; when none is, all ways left are endless.
+    """
+    left = cut(links.select("child", "parent").distinct())
+    n = left.count()
+    while n:
+        up = left.groupBy(F.col("child").alias("parent")).agg(F.count(F.lit(1)).alias("ways"), F.min("parent").alias("only"))
+        left = cut(left.join(up, "parent").select("child", F.when(F.col("ways") == 1, F.col("only")).otherwise(F.col("parent")).alias("parent")).distinct())
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left.select(F.col("child").alias("node")).distinct()
 
-def _walk(edges: DataFrame) -> DataFrame:
-    """Pairs (v, u): u is met on the way up from v before or at the next stop. Cycles end, as no pair is met twice."""
-    step = edges.select(F.col("child").alias("u"), F.col("parent").alias("up"), F.col("root").alias("up_root"), F.col("stop").alias("up_stop"))
-    met = edges.select(F.col("child").alias("v"), F.col("parent").alias("u"), "root", "stop")
-    pieces, front = [met], met.where("not stop and v != u")
-    while True:
-        reached = front.select("v", "u").join(step, "u").select("v", F.col("up").alias("u"), F.col("up_root").alias("root"), F.col("up_stop").alias("stop")).distinct()
-        front = cut(reached.join(met.select("v", "u"), ["v", "u"], "left_anti"))
-        if _empty(front):
-            return met
-        pieces.append(front)
-        met = pieces[0]
-        for p in pieces[1:]:
-            met = met.unionByName(p)
-        front = front.where("not stop and v != u")
 
+def _within(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between two of the nodes."""
+    return links.join(nodes.withColumnRenamed("node", "child"), "child", "left_semi").join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent")
 
-def _closure(pairs: DataFrame) -> DataFrame:
-    """All (a, b) with a way from a to b, by doubling."""
-    known = cut(pairs.distinct())
-    while True:
-        left, right = known.select("a", F.col("b").alias("m")), known.select(F.col("a").alias("m"), "b")
-        new = cut(left.join(right, "m").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
-        if _empty(new):
-            return known
-        known = known.unionByName(new)
+
+def _down(links: DataFrame) -> DataFrame:
+    return links.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
 
 
-def cycle_states(nodes: DataFrame, edges: DataFrame, every: int = SPLITTER_EVERY) -> DataFrame:
-    """Nodes on a loop ('cycle') and nodes with an ancestor on one ('below_cycle'): ``node, kind``.
+def _tops(links: DataFrame) -> DataFrame:
+    """Where chains of links end, each child having one parent and each parent one child, without loops: ``node, top``."""
+    ways = cut(links.select(F.col("child").alias("node"), F.col("parent").alias("top"), F.lit(True).alias("moved")))
+    while not _empty(ways.where("moved")):
+        further = ways.select(F.col("node").alias("top"), F.col("top").alias("next"))
+        ways = cut(ways.join(further, "top", "left").select("node", F.coalesce("next", "top").alias("top"), F.col("next").isNotNull().alias("moved")))
+    return ways.select("node", "top")
 
-    Loops without a splitter show as a walk that comes back to its start; all others pass a splitter that reaches itself
-    in the reduced graph.
+
+def _coloured_loops(links: DataFrame) -> DataFrame:
+    """Nodes on a loop: every node takes the greatest name it reaches as its colour, and the nodes that the one of that name reaches within its colour are its loop.
+
+    Loops that others reach hide behind their colours, so the rest is looked at again without what was found.
     """
-    met = cut(_walk(edges))
-    inner, to_splitter = met.where("not stop").select("v", "u"), met.where("stop and not root").select("v", F.col("u").alias("s"))
-    reduced = to_splitter.where(is_splitter(F.col("v"), every)).select(F.col("v").alias("a"), F.col("s").alias("b"))
-    closure = _closure(reduced)
-    looping = closure.where("a = b").select(F.col("a").alias("node"))
-    lone = inner.where("v = u").select(F.col("v").alias("node"))
-    # v lies on a loop through splitters s (above it) and t (below it) if v -> s ->* t -> v
-    above = to_splitter.join(looping.withColumnRenamed("node", "s"), "s", "left_semi")
-    below = inner.join(looping.withColumnRenamed("node", "v"), "v", "left_semi").select(F.col("v").alias("t"), F.col("u").alias("v"))
-    ways = closure.join(looping.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("a").alias("s"), F.col("b").alias("t"))
-    between = above.join(ways, "s").select("v", "t").distinct().join(below.distinct(), ["v", "t"], "left_semi").select(F.col("v").alias("node"))
-    on = cut(looping.union(lone).union(between).distinct())
-    near = inner.join(on.select(F.col("node").alias("u")), "u", "left_semi").select(F.col("v").alias("node"))
-    seed = on.union(near).distinct().where(is_splitter(F.col("node"), every))
-    bad = seed.union(closure.join(seed.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node"))).distinct()
-    far = to_splitter.join(bad.select(F.col("node").alias("s")), "s", "left_semi").select(F.col("v").alias("node"))
-    under = near.union(bad).union(far).distinct().join(on, "node", "left_anti")
-    return on.select("node", F.lit("cycle").alias("kind")).unionByName(under.select("node", F.lit("below_cycle").alias("kind")))
-
-
-def _paths(nodes: DataFrame, edges: DataFrame, every: int) -> DataFrame:
-    """All ways down from roots in a graph without cycles: ``node, root_id, depth, path``."""
-    step = edges.select(F.col("child").alias("u"), F.col("parent").alias("up"), F.col("root").alias("up_root"), F.col("stop").alias("up_stop"))
-    walk = edges.select(F.col("child").alias("v"), F.col("parent").alias("u"), "root", "stop", F.concat(F.lit(">"), "child").alias("tail"), F.lit(1).alias("n"))
-    ended, front = walk.where("stop"), walk.where("not stop")
-    while not _empty(front):
-        front = cut(
-            front.select("v", "u", "tail", "n")
-            .join(step, "u")
-            .select("v", F.col("up").alias("u"), F.col("up_root").alias("root"), F.col("up_stop").alias("stop"), F.concat(F.lit(">"), "u", "tail").alias("tail"), (F.col("n") + 1).alias("n"))
-        )
-        ended, front = ended.unionByName(front.where("stop")), front.where("not stop")
-    ended = cut(ended.select("v", "u", "root", "tail", "n"))
-    # reduced graph: pieces from splitter to splitter, joined until each begins at a root
-    whole = ended.where(is_splitter(F.col("v"), every))
-    while not _empty(whole.where("not root")):
-        upper = whole.select(F.col("v").alias("u"), F.col("u").alias("top"), F.col("root").alias("top_root"), F.col("tail").alias("upper"), F.col("n").alias("m"))
-        open_ones = whole.where("not root")
-        longer = open_ones.select("v", "u", "tail", "n").join(upper, "u").select(
-            "v", F.col("top").alias("u"), F.col("top_root").alias("root"), F.concat("upper", "tail").alias("tail"), (F.col("n") + F.col("m")).alias("n")
-        )
-        whole = cut(whole.where("root").unionByName(longer))
-    upper = whole.select(F.col("v").alias("u"), F.col("u").alias("top"), F.col("tail").alias("upper"), F.col("n").alias("m"))
-    rest = ended.where("not root").where(~is_splitter(F.col("v"), every))
-    far = rest.select("v", "u", "tail", "n").join(upper, "u").select("v", F.col("top").alias("u"), F.concat("upper", "tail").alias("tail"), (F.col("n") + F.col("m")).alias("n"))
-    near = ended.where("root").where(~is_splitter(F.col("v"), every)).select("v", "u", "tail", "n")
-    below = near.unionByName(far).unionByName(whole.select("v", "u", "tail", "n"))
-    roots = nodes.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
-    return below.select(F.col("v").alias("node"), F.col("u").alias("root_id"), F.col("n").alias("depth"), F.concat("u", "tail").alias("path")).unionByName(
-        roots.select("node", F.col("node").alias("root_id"), F.lit(0).alias("depth"), F.col("node").alias("path"))
+    loops = links.select(F.col("child").alias("node")).limit(0)
+    while not _empty(links):
+        colours = cut(links.select(F.col("child").alias("node")).union(links.select("parent")).distinct().select("node", F.col("node").alias("colour")))
+        moved = True
+        while moved:
+            reached = links.join(colours.withColumnRenamed("node", "parent"), "parent").groupBy(F.col("child").alias("node")).agg(F.max("colour").alias("new"))
+            colours = cut(colours.join(reached, "node", "left").select("node", F.greatest("colour", "new").alias("colour"), (F.col("new") > F.col("colour")).alias("moved")))
+            moved = not _empty(colours.where("moved"))
+            colours = colours.select("node", "colour")
+        of = lambda name, colour: colours.select(F.col("node").alias(name), F.col("colour").alias(colour))
+        inside = cut(links.join(of("child", "c1"), "child").join(of("parent", "c2"), "parent").where("c1 = c2").select("child", "parent"))
+        seen = front = cut(colours.where("node = colour").select("node"))
+        while True:
+            front = cut(inside.join(front.withColumnRenamed("node", "child"), "child", "left_semi").select(F.col("parent").alias("node")).distinct().join(seen, "node", "left_anti"))
+            if _empty(front):
+                break
+            seen = seen.unionByName(front)
+        seen = cut(seen)
+        # one node alone is a loop only if it names itself
+        loops = cut(loops.unionByName(_within(inside, seen).select(F.col("child").alias("node")).distinct()))
+        links = cut(links.join(seen.withColumnRenamed("node", "child"), "child", "left_anti").join(seen.withColumnRenamed("node", "parent"), "parent", "left_anti"))
+    return loops
+
+
+def on_loops(links: DataFrame) -> DataFrame:
+    """Nodes on a loop, among links whose children all have endless ways up: ``node``.
+
+    Nodes whose ways down are endless too lie on a loop or between two. A link that is the only way up of its child and
+    the only way down of its parent joins two nodes of which both or none are on a loop: where such links go round they
+    are a loop by themselves, and other chains of them shrink to their tops. Only what is left branches at every node.
+    """
+    links = cut(_within(links, endless(_down(links))))
+    up = links.groupBy("child").agg(F.count(F.lit(1)).alias("ups"))
+    down = links.groupBy("parent").agg(F.count(F.lit(1)).alias("downs"))
+    links = cut(links.join(up, "child").join(down, "parent").select("child", "parent", (F.expr("ups = 1 and downs = 1")).alias("single")))
+    single = links.where("single").select("child", "parent")
+    round_ = cut(endless(single))
+    tops = _tops(single.join(round_.withColumnRenamed("node", "child"), "child", "left_anti"))
+    branching = links.where("not single").join(tops.select(F.col("node").alias("parent"), "top"), "parent", "left").select("child", F.coalesce("top", "parent").alias("parent")).distinct()
+    loops = _coloured_loops(cut(branching))
+    return round_.unionByName(loops).unionByName(tops.join(loops.withColumnRenamed("node", "top"), "top", "left_semi").select("node"))
+
+
+def cycle_states(links: DataFrame) -> DataFrame:
+    """Nodes on a loop ('cycle') and nodes with an ancestor on one ('below_cycle'): ``node, kind``."""
+    caught = cut(endless(links))
+    on = cut(on_loops(cut(_within(links, caught))))
+    return on.select("node", F.lit("cycle").alias("kind")).unionByName(caught.join(on, "node", "left_anti").select("node", F.lit("below_cycle").alias("kind")))
+
+
+def _upwards(pieces: DataFrame, upper: DataFrame) -> DataFrame:
+    """Pieces of paths (v, u, open, tail, n) made longer by what begins at their top; those that aren't open stay.
+
+    ``upper`` has the ways up from u: (u, top, top_open, upper, m). Pieces that stay meet nothing and are spread.
+    """
+    at = F.when(F.col("open"), F.col("u")).otherwise(F.concat(F.lit("\u0000"), "v"))
+    met = pieces.withColumn("at", at).join(upper.withColumnRenamed("u", "at"), "at", "left")
+    longer = F.col("open") & F.col("top").isNotNull()
+    return met.select(
+        "v",
+        F.when(longer, F.col("top")).otherwise(F.col("u")).alias("u"),
+        F.when(longer, F.col("top_open")).otherwise(F.col("open")).alias("open"),
+        F.when(longer, F.concat("upper", "tail")).otherwise(F.col("tail")).alias("tail"),
+        F.when(longer, F.col("n") + F.col("m")).otherwise(F.col("n")).alias("n"),
     )
 
 
+def _ways_up(pieces: DataFrame) -> DataFrame:
+    return pieces.select(F.col("v").alias("u"), F.col("u").alias("top"), F.col("open").alias("top_open"), F.col("tail").alias("upper"), F.col("n").alias("m"))
+
+
+def _paths(nodes: DataFrame, links: DataFrame, every: int) -> DataFrame:
+    """All ways down from roots in a graph without cycles: ``node, root_id, depth, path``."""
+    inner = links.select(F.col("child").alias("node")).distinct()
+    marked = links.join(inner.select(F.col("node").alias("parent"), F.lit(True).alias("inner")), "parent", "left").select("child", "parent", F.col("inner").isNull().alias("root"))
+    edges = cut(marked.withColumn("stop", F.col("root") | is_splitter(F.col("parent"), every)))
+    # walk to the next splitter or root; a piece's tail is what follows its top
+    step = edges.select(F.col("child").alias("u"), F.col("parent").alias("top"), (~F.col("stop")).alias("top_open"), F.concat(F.lit(">"), "child").alias("upper"), F.lit(1).alias("m"))
+    front = edges.select(F.col("child").alias("v"), F.col("parent").alias("u"), (~F.col("stop")).alias("open"), F.concat(F.lit(">"), "child").alias("tail"), F.lit(1).alias("n"))
+    ended = None
+    while True:
+        for _ in range(STEPS):
+            front = _upwards(front, step)
+        front = cut(front)
+        done = front.where("not open")
+        ended = done if ended is None else ended.unionByName(done)
+        front = front.where("open")
+        if _empty(front):
+            break
+    roots = nodes.join(inner, "node", "left_anti")
+    # reduced graph: pieces from splitter to splitter, joined until each begins at a root; a top that isn't a splitter is a root
+    rooted = ended.join(inner.select(F.col("node").alias("u"), F.lit(True).alias("more")), "u", "left").select("v", "u", F.col("more").isNotNull().alias("open"), "tail", "n")
+    rooted = cut(rooted)
+    whole = rooted.where(is_splitter(F.col("v"), every))
+    while not _empty(whole.where("open")):
+        whole = cut(_upwards(whole, _ways_up(whole)))
+    rest = _upwards(rooted.where(~is_splitter(F.col("v"), every)), _ways_up(whole))
+    below = rest.unionByName(whole).select(F.col("v").alias("node"), F.col("u").alias("root_id"), F.col("n").alias("depth"), F.concat("u", "tail").alias("path"))
+    return below.unionByName(roots.select("node", F.col("node").alias("root_id"), F.lit(0).alias("depth"), F.col("node").alias("path")))
+
+
 def hierarchy(nodes: DataFrame, links: DataFrame, every: int = SPLITTER_EVERY) -> DataFrame:
     """Full hierarchies of a graph of parent links: ``node, kind, root_id, depth, path``.
 
@@ -136,11 +190,11 @@ def hierarchy(nodes: DataFrame, links: DataFrame, every: int = SPLITTER_EVERY) -
         .join(ids.withColumnRenamed("node", "child"), "child", "left_semi")
         .join(ids.withColumnRenamed("node", "parent"), "parent", "left_semi")
     )
-    edges = cut(_edges(nodes, known, every))
-    states = cut(cycle_states(nodes, edges, every))
+    known = cut(known)
+    states = cut(cycle_states(known))
     clean_nodes = nodes.join(states, "node", "left_anti")
-    clean_edges = edges.join(states.select(F.col("node").alias("child")), "child", "left_anti")
-    paths = _paths(clean_nodes, clean_edges, every)
+    clean_links = known.join(states.select(F.col("node").alias("child")), "child", "left_anti")
+    paths = _paths(clean_nodes, clean_links, every)
     caught = states.select("node", "kind", F.lit("").alias("root_id"), F.lit(-1).alias("depth"), F.lit("").alias("path"))
     return paths.select("node", F.lit("path").alias("kind"), "root_id", "depth", "path").unionByName(caught)
 

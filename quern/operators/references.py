@@ -21,10 +21,11 @@ def long_form(children: DataFrame, parents: DataFrame, parent_table: str) -> Dat
 
 
 def key_states(long: DataFrame) -> DataFrame:
-    """Groups the long form by parent table and key, and keeps groups that some reference may dangle in.
+    """Groups the long form by parent table and key; ``suspect`` are groups that some reference may dangle in.
 
-    Kept are groups without a parent row, and those whose references reach before the parent's arrival or to its
-    deletion. The aggregation is partial before the shuffle, so a hot key costs one row per task.
+    Suspect are groups without a parent row, and those whose references reach before the parent's arrival or to its
+    deletion. Groups without references are left out. The aggregation is partial before the shuffle, so a hot key costs
+    one row per task.
     """
     return (
         long.groupBy("parent_table", "key")
@@ -36,7 +37,8 @@ def key_states(long: DataFrame) -> DataFrame:
             F.min("at").alias("first_at"),
             F.max("at").alias("last_at"),
         )
-        .where("n_refs > 0 and (not has_parent or first_at < arrival or last_at >= deleted_at)")
+        .where("n_refs > 0")
+        .withColumn("suspect", F.expr("coalesce(not has_parent or first_at < arrival or last_at >= deleted_at, false)"))
     )
 
 
@@ -48,20 +50,21 @@ def orphan_references(children: DataFrame, parents: DataFrame, parent_table: str
     or before it); a reference can be late and deleted at once. A reference without a time can only be missing,
     its period is null. References whose key is null or blank aren't references. Rows are distinct.
 
-    The states of suspect keys are joined back to the references. Keys with more than ``HOT_SHARE`` of all
-    suspect references, at most 1000 by that bound, are joined by broadcast; the rest by an ordinary join in which no
-    key is hot. References that match a hot key get spread keys there, so nothing piles up.
+    The states of suspect keys are joined back to the references. Keys with more than ``HOT_SHARE`` of all references,
+    suspect or not, are at most 1000 by that bound and joined by broadcast: references to a healthy one end there,
+    those to a suspect one carry its state and are spread. The rest goes through an ordinary join in which no key is hot.
     """
     refs = children.select("src_table", "src_key", F.lower(F.trim("key")).alias("key"), F.col("at").cast("timestamp_ntz").alias("at")).where(F.length("key") > 0)
     p = parents.select("key", F.col("arrival").cast("timestamp_ntz").alias("arrival"), F.col("deleted_at").cast("timestamp_ntz").alias("deleted_at"))
-    states = cut(key_states(long_form(refs, p, parent_table)).select("key", "has_parent", "arrival", "deleted_at", "n_refs"))
+    states = cut(key_states(long_form(refs, p, parent_table)).select("key", "has_parent", "arrival", "deleted_at", "n_refs", "suspect"))
     total = states.agg(F.coalesce(F.sum("n_refs"), F.lit(0))).first()[0]
     state = F.struct("has_parent", "arrival", "deleted_at")
-    hot = states.where(F.col("n_refs") > total * HOT_SHARE).select("key", state.alias("hot"))
-    cold = states.where(F.col("n_refs") <= total * HOT_SHARE).select(F.col("key").alias("cold_key"), state.alias("cold"))
+    hot = states.where(F.col("n_refs") > total * HOT_SHARE).select("key", "suspect", state.alias("hot"))
+    cold = states.where(F.col("suspect") & (F.col("n_refs") <= total * HOT_SHARE)).select(F.col("key").alias("cold_key"), state.alias("cold"))
     spread = F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.concat(F.lit("\u0000"), F.xxhash64("src_table", "src_key").cast("string")))
     known = (
         refs.join(F.broadcast(hot), "key", "left")
+        .where("suspect is null or suspect")
         .withColumn("cold_key", spread)
         .join(cold, "cold_key", "left")
         .withColumn("s", F.coalesce("hot", "cold"))

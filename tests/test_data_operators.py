@@ -213,3 +213,31 @@ def test_hierarchy_of_a_long_chain_and_of_nothing(spark):
     assert h.count() == n and h.agg(F.max("depth")).first()[0] == n - 1
     assert hierarchy.descendants(h).count() == n * (n - 1) // 2
     assert hierarchy.hierarchy(nodes.limit(0), links.limit(0)).count() == 0
+
+
+def test_loops_beside_below_and_through_each_other(spark):
+    """Loops of one to many nodes, loops that share a node, loops above each other with nodes between them."""
+    links = [(f"r{i}", f"r{(i + 1) % 17}") for i in range(17)] + [("self", "self"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")]
+    links += [("lo1", "lo2"), ("lo2", "lo1"), ("lo1", "m1"), ("m1", "m2"), ("m2", "m3"), ("m3", "hi1"), ("hi1", "hi2"), ("hi2", "hi3"), ("hi3", "hi1"), ("lo2", "m9"), ("m9", "self")]
+    links += [("end", "r3"), ("end2", "end"), ("free", "top"), ("end", "free")] + [(f"d{i}", f"d{(i * 7 + 1) % 11}") for i in range(11)] + [(f"d{i}", f"d{(i * 3 + 2) % 11}") for i in range(11)]
+    nodes = {x for pair in links for x in pair}
+    got = {tuple(r) for r in hierarchy.hierarchy(spark.createDataFrame([(x,) for x in nodes], "node string"), spark.createDataFrame(links, "child string, parent string")).collect()}
+    assert got == brute_hierarchy(nodes, links)
+
+
+def test_hierarchy_with_a_hub(spark):
+    links = [(f"n{i}", "hub") for i in range(3000)] + [("hub", "root")] + [(f"m{i}", f"n{i}") for i in range(0, 3000, 3)]
+    nodes = {x for pair in links for x in pair}
+    got = {tuple(r) for r in hierarchy.hierarchy(spark.createDataFrame([(x,) for x in nodes], "node string"), spark.createDataFrame(links, "child string, parent string")).collect()}
+    assert got == brute_hierarchy(nodes, links)
+
+
+def test_orphans_beside_a_healthy_hot_key(spark):
+    """A norm that half of all references name, none of them dangling, and as many that do name another."""
+    t = lambda d: dt.datetime(2024, 1, d)
+    refs = [("r", str(i), "healthy", t(5)) for i in range(3000)] + [("r", f"x{i}", "withdrawn", t(9)) for i in range(1500)] + [("r", f"y{i}", f"rare{i}", t(2)) for i in range(1500)]
+    parents = [("healthy", t(1), None), ("withdrawn", t(1), t(8))] + [(f"rare{i}", t(3 if i % 2 else 1), None) for i in range(1400)]
+    c = spark.createDataFrame(refs, "src_table string, src_key string, key string, at timestamp_ntz")
+    p = spark.createDataFrame(parents, "key string, arrival timestamp_ntz, deleted_at timestamp_ntz")
+    got = rows(references.orphan_references(c, p).groupBy("reason").count())
+    assert got == [("deleted", 1500), ("late", 700), ("missing", 100)]
