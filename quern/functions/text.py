@@ -145,31 +145,62 @@ def snippet(text: Column, needle: Column, before: int = 200, after: int = 50, el
     return F.when(at > 0, F.substr(text, begin, at - begin + F.length(needle) + after)).otherwise(F.substring(text, 1, else_first))
 
 
-# Words of document numbers and the kinds of documents their names begin with.
-DOCUMENT_KINDS = (("nghị định", "nghi-dinh"), ("thông tư", "thong-tu"), ("quyết định", "quyet-dinh"), ("nghị quyết", "nghi-quyet"), ("pháp lệnh", "phap-lenh"), ("bộ luật", "bo-luat"), ("luật", "luat"))
-_NUMBER = r"(\d+/(?:\d{4}/)?[\p{Lu}Đ\d]+(?:-[\p{Lu}Đ\d]+)*|\d+/\d{4}(?:/[\p{Lu}Đ\d]+(?:-[\p{Lu}Đ\d]+)*)?)"
+# The kinds of documents their names begin with.
+DOCUMENT_KINDS = (
+    ("nghi dinh", "nghi-dinh"), ("thong tu lien tich", "thong-tu-lien-tich"), ("thong tu", "thong-tu"), ("quyet dinh", "quyet-dinh"),
+    ("nghi quyet", "nghi-quyet"), ("phap lenh", "phap-lenh"), ("bo luat", "bo-luat"), ("luat", "luat"),
+)
+# Words of a name that aren't part of what the document is called.
+ISSUERS = (
+    "của Quốc hội", "của Hội đồng nhân dân và Uỷ ban nhân dân", "của Hội đồng nhân dân", "của Uỷ ban nhân dân", "của Ủy ban nhân dân", "của Chính phủ",
+)
+#: Words of a name that go into an identifier.
+NAME_WORDS = 12
+#: Number, year and sign of a document, with a mark before them that isn't part of a word.
+NUMBER = r"(^|[^\p{L}\p{N}_])(\d{1,4})\s*/\s*(\d{4})\s*/\s*([A-Za-zĐđ]{2,}\d*(?:-[A-Za-zĐđ]+)*)"
 
 
 def document_number(c: Column) -> Column:
-    """The official number in a document's name, null where there is none."""
-    return F.nullif(F.regexp_extract(F.upper(c), _NUMBER, 1), F.lit(""))
+    """The official number in a document's name, lower case and without marks: '102/2024/nd-cp'; null where there is none."""
+    part = lambda i: F.regexp_extract(c, NUMBER, i)
+    return F.when(part(2) != "", F.concat_ws("/", part(2), part(3), F.lower(strip_marks(part(4)))))
 
 
 def document_year(c: Column) -> Column:
-    """The first year between 1900 and 2099 in a document's name."""
-    return F.nullif(F.regexp_extract(c, r"(?:^|\D)((?:19|20)\d{2})(?:\D|$)", 1), F.lit("")).cast("int")
+    """The year of a document: that of its number, else the one its name gives as 'năm YYYY'; null without either."""
+    year = lambda rx, i: F.nullif(F.regexp_extract(c, rx, i), F.lit(""))
+    return F.coalesce(year(NUMBER, 3), year(r"(?iu)(?:^|[^\p{L}\p{N}_])năm\s+(\d{4})(?![\p{L}\p{N}_])", 1)).cast("int")
 
 
 def document_kind(c: Column) -> Column:
-    """Kind of document its name begins with, null for others."""
-    t = normalize_space(c)
-    out = F.lit(None).cast("string")
-    for words, kind in reversed(DOCUMENT_KINDS):
-        out = F.when(t.startswith(words), F.lit(kind)).otherwise(out)
-    return out
+    """Kind of document its name begins with, the longest that fits; null for others."""
+    kinds = "|".join(k for _, k in DOCUMENT_KINDS)
+    return F.nullif(F.regexp_extract(F.concat(slug(c), F.lit("-")), f"^({kinds})-", 1), F.lit(""))
 
 
 def document_slug(c: Column) -> Column:
-    """Identifier of a document from its name: kind and number, or kind and the words of the name; null without a kind."""
-    kind, number = document_kind(c), document_number(c)
-    return F.when(kind.isNotNull(), F.when(number.isNotNull(), F.concat_ws("-", kind, slug(number))).otherwise(slug(c)))
+    """Identifier of a document from its name; null without a kind or a year, nothing is guessed.
+
+    Kind, number, year and sign for a document below the laws that has a number; else kind, name and year. The name is
+    what is left of the words without number and issuer after the kind, or after 'về' where at most two words come
+    before that; of a long name the first words.
+    """
+    kind, number, year = document_kind(c), document_number(c), document_year(c)
+    bare = F.regexp_replace(c, NUMBER, "$1 ")
+    for words in (*(w.replace(" ", r"\s+") for w in ISSUERS), r"(?<![\p{L}\p{N}_])số(?![\p{L}\p{N}_])"):
+        bare = F.regexp_replace(bare, f"(?iu){words}", " ")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+", " "), "^[ ,.-]+|[ ,.-]+$", "")
+    about = r"(?iu)^([^ ]+(?: [^ ]+)?) về (.+)$"
+
+    def named(t: Column) -> Column:
+        before, after = F.regexp_extract(t, about, 1), F.regexp_extract(t, about, 2)
+        own = document_kind(F.when(before != "", before).otherwise(t))
+        words = F.split(t, " ")
+        rest = F.when(before != "", after).otherwise(F.array_join(F.slice(words, F.size(F.split(own, "-")) + 1, F.size(words)), " "))
+        name = F.array_join(F.slice(F.split(slug(rest), "-"), 1, NAME_WORDS), "-")
+        return F.when(own.isNotNull() & (F.length(name) > 0), F.concat_ws("-", own, name, year.cast("string")))
+
+    # by way of an array, so that the words are worked out once
+    called = F.transform(F.array(bare), named)[0]
+    below = kind.isNotNull() & ~kind.isin("luat", "bo-luat") & number.isNotNull()
+    return F.when(year.isNotNull(), F.when(below, F.concat_ws("-", kind, slug(number))).otherwise(called))

@@ -140,13 +140,29 @@ def token_estimates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-_NUM = r"'(\d+/(?:\d{4}/)?[\p{Lu}Đ\d]+(?:-[\p{Lu}Đ\d]+)*|\d+/\d{4}(?:/[\p{Lu}Đ\d]+(?:-[\p{Lu}Đ\d]+)*)?)'"
-_KIND = "CASE " + " ".join(f"WHEN starts_with(t, '{w}') THEN '{k}'" for w, k in text.DOCUMENT_KINDS) + " END"
+_NUM = "(^|[^\\p{L}\\p{N}_])(\\d{1,4})\\s*/\\s*(\\d{4})\\s*/\\s*([A-Za-zĐđ]{2,}\\d*(?:-[A-Za-zĐđ]+)*)"
 
 
-@query(rf"""WITH {_CURRENT}, a AS (SELECT key, title, trim(regexp_replace(lower(title), '\s+', ' ', 'g')) AS t FROM cur),
-b AS (SELECT key, title, {_KIND} AS kind, nullif(regexp_extract(upper(title), {_NUM}, 1), '') AS number, nullif(regexp_extract(title, '(?:^|\D)((?:19|20)\d{{2}})(?:\D|$)', 1), '')::int AS year FROM a)
-SELECT key, kind, number, year, CASE WHEN kind IS NULL THEN NULL WHEN number IS NOT NULL THEN kind || '-' || {_SLUG.format(c='number')} ELSE {_SLUG.format(c='title')} END AS slug FROM b""")
+def _kind_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN starts_with({_SLUG.format(c=c)} || '-', '{k}-') THEN '{k}'" for _, k in text.DOCUMENT_KINDS) + " END"
+
+
+_BARE = f"regexp_replace(title, '{_NUM}', '\\1 ', 'g')"
+for _words in (*text.ISSUERS, ""):
+    _BARE = f"regexp_replace({_BARE}, '{_words.replace(' ', chr(92) + 's+')}', ' ', 'gi')" if _words else f"regexp_replace(' ' || regexp_replace({_BARE}, '\\s+', '  ', 'g') || ' ', '([^\\p{{L}}\\p{{N}}_])số([^\\p{{L}}\\p{{N}}_])', '\\1 \\2', 'gi')"
+_BARE = f"regexp_replace(regexp_replace({_BARE}, '\\s+', ' ', 'g'), '^[ ,.-]+|[ ,.-]+$', '', 'g')"
+
+
+@query(f"""WITH {_CURRENT}, a AS (SELECT key, title, {_BARE} AS bare, regexp_extract(title, '{_NUM}', 2) AS num, regexp_extract(title, '{_NUM}', 3) AS num_year,
+  {_SLUG.format(c=f"regexp_extract(title, '{_NUM}', 4)")} AS sign FROM cur),
+b AS (SELECT *, {_kind_sql('title')} AS kind, nullif(regexp_extract(bare, '^([^ ]+( [^ ]+)?) về .+$', 1, 'i'), '') AS before,
+  coalesce(nullif(num_year, ''), nullif(regexp_extract(title, '(^|[^\\p{{L}}\\p{{N}}_])năm\\s+(\\d{{4}})([^\\p{{L}}\\p{{N}}_]|$)', 2, 'i'), '')) AS y FROM a),
+c AS (SELECT *, {_kind_sql('coalesce(before, bare)')} AS own FROM b),
+d AS (SELECT *, CASE WHEN before IS NULL THEN array_to_string(list_slice(string_split(bare, ' '), len(string_split(own, '-')) + 1, len(string_split(bare, ' '))), ' ') ELSE substr(bare, length(before) + 5) END AS rest FROM c),
+e AS (SELECT *, array_to_string(list_slice(string_split({_SLUG.format(c='rest')}, '-'), 1, {text.NAME_WORDS}), '-') AS name FROM d)
+SELECT key, kind, CASE WHEN num <> '' THEN num || '/' || num_year || '/' || sign END AS number, y::int AS year,
+  CASE WHEN y IS NULL THEN NULL WHEN kind NOT IN ('luat', 'bo-luat') AND num <> '' THEN kind || '-' || num || '-' || num_year || '-' || sign
+    WHEN own IS NOT NULL AND length(name) > 0 THEN own || '-' || name || '-' || y END AS slug FROM e""")
 def document_names(spark, sf_dir):
     t = F.col("title")
     return norms(spark, sf_dir).select("key", text.document_kind(t).alias("kind"), text.document_number(t).alias("number"), text.document_year(t).alias("year"), text.document_slug(t).alias("slug"))

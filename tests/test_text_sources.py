@@ -25,6 +25,40 @@ def test_text_functions(spark):
     assert one(spark, text.document_slug, "Nghị định 102/2024/NĐ-CP") == "nghi-dinh-102-2024-nd-cp" and one(spark, text.document_slug, "Thư riêng") is None
 
 
+NAMES = {
+    "Luật Địa chất và Khoáng sản của Quốc hội, số 54/2024/QH15": "luat-dia-chat-va-khoang-san-2024",
+    "Luật Bảo hiểm y tế số 25/2008/QH12 của Quốc hội": "luat-bao-hiem-y-te-2008",
+    "Luật của Quốc hội số 26/2001/QH10 về Giao thông đường bộ": "luat-giao-thong-duong-bo-2001",
+    "Luật các tổ chức tín dụng số 02/1997/QH10": "luat-cac-to-chuc-tin-dung-1997",
+    "Luật Giao thông đường thủy nội địa, số 23/2004/QH11": "luat-giao-thong-duong-thuy-noi-dia-2004",
+    "Luật Đường sắt của Quốc hội, số 06/2017/QH14": "luat-duong-sat-2017",
+    "Luật Ngân sách Nhà nước của Quốc hội, số 83/2015/QH13 ": "luat-ngan-sach-nha-nuoc-2015",
+    "Nghị định 102/2024/NĐ-CP": "nghi-dinh-102-2024-nd-cp",
+    "Thông tư 04/2020/TT-BTP": "thong-tu-04-2020-tt-btp",
+    "Dự thảo Luật Công nghiệp trọng điểm": None,
+    "Dự thảo Luật Bảo hiểm xã hội": None,
+    "Luật Quy định quyền lập hội": None,
+    "": None,
+    "   ": None,
+    # beyond the golden cases
+    "Luật Đất đai số 31/2024/QH15": "luat-dat-dai-2024",
+    "Luật Nuôi con nuôi": None,
+    "Bộ luật Dân sự số 91/2015/QH13": "bo-luat-dan-su-2015",
+    "Thông tư liên tịch 01/2014/TTLT-BTP-BCA": "thong-tu-lien-tich-01-2014-ttlt-btp-bca",
+    "Luật sửa đổi, bổ sung một số điều của Luật A, Luật B, Luật C, Luật D số 1/2020/QH14": "luat-sua-doi-bo-sung-mot-dieu-cua-luat-a-luat-b-luat-2020",
+    "Luật số 12/2020/QH14": None,
+}
+
+
+def test_document_slugs(spark):
+    df = spark.createDataFrame([*NAMES.items(), (None, None)], "x string, want string")
+    assert [tuple(r) for r in df.select("x", text.document_slug(F.col("x")).alias("y"), "want").where("not y <=> want").collect()] == []
+    from plain_sql import run
+
+    names = [n for n in NAMES if n]
+    assert run(names) == [NAMES[n] for n in names]
+
+
 def test_citations_round_trip(spark):
     a = "x [Điểm đ, Khoản 2, Phụ lục, Văn bản Z] [Điều 3, Văn bản a] [điều 3, văn bản a] [Điều, Văn bản b] [Khoản 1] [Phụ lục II, Văn  bản c]"
     got = [tuple(c) for c in one(spark, citations.parse_citations, a)]
