@@ -56,7 +56,7 @@ def format_citation(c: Column) -> Column:
     return F.concat(F.lit("["), F.concat_ws(", ", head, pre("Khoản", c["khoan"]), pre("Điểm", c["diem"]), pre("Tiết", c["tiet"]), pre("Văn bản", c["van_ban"])), F.lit("]"))
 
 
-#: Article words as the reference reads them; the strict class misses the small crossed d.
+# The word for an article as questions spell it; the strict class doesn't know the small crossed d.
 ARTICLE, ARTICLE_STRICT = "[ĐđDd]i[ềê]u", "[ĐDd]i[ềê]u"
 
 

@@ -103,16 +103,30 @@ def clipped_quantile(values: Column, q: float) -> Column:
     return F.try_element_at(clean, (F.least(F.size(clean) - 1, F.floor(F.lit(q) * F.size(clean))) + 1).cast("int"))
 
 
+#: Ranges of values that are counted to find a quantile.
+RANGES = 64
+
+
 def ranked_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str = "q") -> DataFrame:
     """The index rule of ``lower_quantile`` for groups of any size: distinct values are counted first, then a running count finds it.
 
-    Groups with nothing but nulls give no row. Nothing is collected into arrays.
+    Groups with nothing but nulls give no row. Values are numbers; they are cut into ranges that are counted first, so
+    neither a group nor the whole, where there are no keys, goes through one task.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    run = counts.withColumn("__to", F.sum("__n").over(w.orderBy("__v"))).withColumn("__all", F.sum("__n").over(w))
+    splits = sorted(set(df.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)))
+    ranged = counts.withColumn("__r", F.size(F.filter(F.array(*[F.lit(x) for x in splits]), lambda x: x < F.col("__v"))) if splits else F.lit(0))
+    sums = ranged.groupBy(*keys, "__r").agg(F.sum("__n").alias("__in"))
+    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    offsets = sums.select(*keys, "__r", (F.sum("__in").over(every.orderBy("__r")) - F.col("__in")).alias("__from"), F.col("__in"), F.sum("__in").over(every).alias("__all"))
     at = F.floor(F.lit(q) * (F.col("__all") - 1))
-    return run.where((F.col("__to") > at) & (F.col("__to") - F.col("__n") <= at)).select(*keys, F.col("__v").alias(name))
+    hit = offsets.where((F.col("__from") <= at) & (F.col("__from") + F.col("__in") > at)).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__r").alias("__hit"), (at - F.col("__from")).alias("__at"))
+    same = F.col("__r") == F.col("__hit")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inside = ranged.join(hit, same)
+    run = inside.withColumn("__to", F.sum("__n").over((Window.partitionBy(*keys) if keys else Window.partitionBy("__r")).orderBy("__v")))
+    return run.where((F.col("__to") > F.col("__at")) & (F.col("__to") - F.col("__n") <= F.col("__at"))).select(*keys, F.col("__v").alias(name))
 
 
 def scored(results: DataFrame) -> DataFrame:

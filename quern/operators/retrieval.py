@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import estimate_tokens, slug_tokens, word_tokens
-from quern.session import spread
+from quern.session import cut, spread
 
 RRF_K = 60
 RARITY_WEIGHT = 1.5
@@ -23,8 +23,9 @@ MAX_PER_TIER = {1: 8, 2: 8, 3: 6, 4: 8}
 MAX_OTHER_TIER = 25
 #: Most query vectors held by every task at once.
 QUERY_BLOCK = 2048
-#: Documents scored at once by a task.
+#: Documents scored at once by a task, and pairs of a document's term and a query that asks for it.
 SCORED_AT_ONCE = 500
+PAIRS_AT_ONCE = 4_000_000
 
 
 def pool_size(k: int) -> int:
@@ -46,14 +47,14 @@ def top_k(scored: DataFrame, k: int, query: str = "q", score: str = "score", tie
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _keep_best(best: pd.DataFrame | None, ids: list, items: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame | None:
-    """A task's k best rows per query so far, with those of a batch; ties go to the lesser item."""
+def _keep_best(best: pd.DataFrame | None, ids: list, items: np.ndarray, scores: np.ndarray, k: int, least: float = -np.inf) -> pd.DataFrame | None:
+    """A task's k best rows per query so far, with those of a batch that score above ``least``; ties go to the lesser item."""
     if not len(ids) or not len(items):
         return best
     take = min(k, scores.shape[1])
     # all that tie with the k-th stay in, the ranking settles them
     kth = np.partition(scores, -take, axis=1)[:, -take]
-    r, c = np.nonzero(scores >= kth[:, None])
+    r, c = np.nonzero((scores >= kth[:, None]) & (scores > least))
     part = pd.DataFrame({"q": np.array(ids, dtype=object)[r], "item": items[c], "score": scores[r, c]})
     best = part if best is None else pd.concat([best, part])
     return best.sort_values(["q", "score", "item"], ascending=[True, False, True]).groupby("q").head(k)
@@ -120,55 +121,65 @@ def bm25_index(docs: DataFrame, item: str = "item", text: str = "text") -> tuple
 def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, block: int = QUERY_BLOCK) -> DataFrame:
     """BM25 top k: ``q, item, score, rank``. ``queries(q, text)``, ``docs(item, text)``; repeated query words count repeatedly.
 
-    Two passes over the texts. The first counts in how many documents each query term stands (aggregated partially, one row
-    per term and task). In the second every task scores its documents against a block of the stated queries and
-    emits k candidates per query, so pairs of queries and documents are never shuffled. Scores of 0 don't count.
+    Two passes over the texts. The first counts in how many documents each query term stands, and with them the documents
+    and their words (aggregated partially, one row per term and task). In the second every task scores its documents
+    against a block of the stated queries and emits k candidates per query, so pairs of queries and documents are never
+    shuffled; only terms that a document has and a query asks for are worked on. Scores of 0 don't count.
     """
     q = queries.where("q is not null").select("q", word_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    n = q.count()
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-q.count() // block))
     texts = spread(docs.where("item is not null").select("item", F.lower(F.coalesce("text", F.lit(""))).alias("text")))
-    terms = q.select(F.explode("t").alias("term")).distinct()
+    every = F.lit("")  # no word is empty: counted under it are all documents
+    terms = q.select(F.explode("t").alias("term")).distinct().union(queries.sparkSession.range(1).select(every))
     toks = texts.select(word_tokens(F.col("text")).alias("t"))
-    total = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
-    found = toks.select(F.explode(F.array_distinct("t")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    seen = toks.select(F.size("t").cast("bigint").alias("dl"), F.explode(F.concat(F.array(every), F.array_distinct("t"))).alias("term"))
+    found = cut(seen.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("words")))
+    total = found.where(F.col("term") == every).first()
+    n_docs = total["df"] if total else 0
+    avgdl = (total["words"] / n_docs if n_docs else 0) or 1.0
     kq, ki = dict(queries.dtypes)["q"], dict(docs.dtypes)["item"]
-    n_docs, avgdl = total["n"], total["avgdl"] or 1.0
 
     def one(i: int) -> DataFrame:
-        rows = q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect()
-        asked = found.join(q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).select(F.explode("t").alias("term")).distinct(), "term", "left_semi")
-        df = {r["term"]: r["df"] for r in asked.collect()}
-        shared = queries.sparkSession.sparkContext.broadcast(([r["q"] for r in rows], [r["t"] for r in rows], df))
+        own = q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)
+        rows = own.collect()
+        asked = found.join(own.select(F.explode("t").alias("term")).distinct(), "term", "left_semi")
+        shared = queries.sparkSession.sparkContext.broadcast(([r["q"] for r in rows], [r["t"] for r in rows], {r["term"]: r["df"] for r in asked.collect()}))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, asked_terms, dfs = shared.value
             place = {t: j for j, t in enumerate(dfs)}
             idf = np.array([np.log1p((n_docs - f + 0.5) / (f + 0.5)) for f in dfs.values()])
-            weight = np.zeros((len(ids), len(place)))
-            for j, ts in enumerate(asked_terms):
-                for t in ts:
-                    if t in place:
-                        weight[j, place[t]] += 1
-            weight *= idf if len(idf) else 1
+            # per term the queries that ask for it, one after the other, with their weights
+            asks = np.array(sorted((place[t], j) for j, ts in enumerate(asked_terms) for t in ts if t in place), np.int64).reshape(-1, 2)
+            cells, times = np.unique(asks[:, 0] * max(len(ids), 1) + asks[:, 1], return_counts=True)
+            term_of, query_of = np.divmod(cells, max(len(ids), 1))
+            weight = times * idf[term_of] if len(idf) else times
+            begin = np.searchsorted(term_of, np.arange(len(place) + 1))
             word = regex.compile(r"[\p{L}\p{N}_]+")
             best: pd.DataFrame | None = None
             for whole in batches:
                 for lo in range(0, len(whole), SCORED_AT_ONCE):
                     part = whole.iloc[lo : lo + SCORED_AT_ONCE]
-                    tf = np.zeros((len(part), len(place)))
-                    dl = np.zeros(len(part))
+                    if not len(place):
+                        continue
+                    dl, held = np.zeros(len(part)), []
                     for d, text in enumerate(part["text"]):
                         w = word.findall(text)
                         dl[d] = len(w)
-                        at = [p for p in map(place.get, w) if p is not None]
-                        if at:
-                            tf[d] = np.bincount(at, minlength=len(place))
-                    norm = k1 * (1 - b + b * dl / avgdl)
-                    s = np.round(weight @ (tf * (k1 + 1) / (tf + norm[:, None] + 1e-300)).T, 6)
-                    best = _keep_best(best, ids, part["item"].to_numpy(), s, k)
+                        held.append(np.array([p for p in map(place.get, w) if p is not None], np.int64) + d * len(place))
+                    posts, tf = np.unique(np.concatenate(held), return_counts=True)
+                    doc, term = np.divmod(posts, len(place))
+                    sat = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl))
+                    n_asks = begin[term + 1] - begin[term]
+                    s = np.zeros(len(ids) * len(part))
+                    bounds = np.searchsorted(np.cumsum(n_asks), np.arange(PAIRS_AT_ONCE, n_asks.sum() + PAIRS_AT_ONCE, PAIRS_AT_ONCE), "right")
+                    for x, y in zip(np.r_[0, bounds[:-1]], np.r_[bounds[:-1], len(posts)]):
+                        n = n_asks[x:y]
+                        at = np.repeat(begin[term[x:y]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                        s += np.bincount(query_of[at] * len(part) + np.repeat(doc[x:y], n), weight[at] * np.repeat(sat[x:y], n), len(s))
+                    best = _keep_best(best, ids, part["item"].to_numpy(), np.round(s.reshape(len(ids), len(part)), 6), k, 0.0)
             if best is not None and len(best):
-                yield best[best["score"] > 0]
+                yield best
 
         return texts.mapInPandas(run, f"q {kq}, item {ki}, score double")
 
@@ -179,11 +190,21 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b:
 
 
 def keyword_overlap(queries: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
-    """Share of a query's slug tokens that an item's name has: ``q, item, score``. ``queries(q, text)``, ``items(item, name)``."""
-    q = queries.select("q", slug_tokens(F.col("text")).alias("t")).withColumn("n", F.size("t")).select("q", "n", F.explode("t").alias("tok"))
-    i = items.select("item", F.explode(slug_tokens(F.col("name"))).alias("tok"))
-    hits = q.join(i, "tok").groupBy("q", "item").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
-    return hits.select("q", "item", (F.col("m") / F.col("n")).alias("score")).where(F.col("score") >= least)
+    """Share of a query's slug tokens that an item's name has: ``q, item, score``. ``queries(q, text)``, ``items(item, name)``.
+
+    An item that has the share of a query's tokens has one of the rarest of them, as many as may be missing and one more.
+    Tokens are counted over the items first, only those rarest are joined, and the share is worked out on the pair.
+    """
+    tok = lambda df, key, text: df.select(key, slug_tokens(F.col(text)).alias("t"))
+    q, i = tok(queries, "q", "text").where(F.size("t") > 0), tok(items, "item", "name")
+    often = i.select(F.explode("t").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("often"))
+    ranked = q.select("q", "t", F.explode("t").alias("tok")).join(often, "tok").groupBy("q", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("often", "tok"))), lambda x: x["tok"]).alias("known"))
+    # tokens that no item has are missing everywhere
+    missing = F.size("t") - F.ceil(F.lit(least) * F.size("t") - 1e-9) - (F.size("t") - F.size("known"))
+    rare = ranked.where(missing >= 0).select("q", "t", F.slice("known", F.lit(1), F.least(missing + 1, F.size("known")).cast("int")).alias("rare"))
+    pairs = rare.withColumn("tok", F.explode("rare")).join(i.select("item", F.col("t").alias("has"), F.explode("t").alias("tok")), "tok")
+    once = pairs.where(F.col("tok") == F.array_intersect("rare", "has")[0])
+    return once.select("q", "item", (F.size(F.array_intersect("t", "has")) / F.size("t")).alias("score")).where(F.col("score") >= least)
 
 
 def rrf_score(dense_rank: Column, keyword_rank: Column, tier: Column, boosted: Column, rarity: Column) -> Column:
@@ -263,17 +284,18 @@ def assemble_context(units: DataFrame, label: str = "label", text: str = "text",
 def fixed_chunks(docs: DataFrame, item: str, text: str, size: int = 512, overlap: int = 50) -> DataFrame:
     """Chunks of so many characters with an overlap: ``item, chunk_idx, chunk``; each trimmed, blank ones left out.
 
-    Rows are emitted where the text is, without a shuffle. The last chunk is the first that reaches the end.
+    Rows are emitted where the text is, without a shuffle and in time linear in its length. The last chunk is the first
+    that reaches the end.
     """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap less than it")
     step = size - overlap
     t = spread(docs.select(F.col(item).alias("item"), F.col(text).alias("t"))).select("item", F.regexp_replace("t", r"^\s+|\s+$", "").alias("t")).where(F.length("t") > 0)
-    last = F.greatest(F.lit(0), F.ceil((F.length("t") - size) / step)).cast("int")
-    at = t.select("item", "t", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    cut = at.select("item", "i", F.regexp_replace(F.substr(F.col("t"), F.col("i") * step + 1, F.lit(size)), r"^\s+|\s+$", "").alias("chunk")).where(F.length("chunk") > 0)
-    w = Window.partitionBy("item").orderBy("i")
-    return cut.select("item", (F.row_number().over(w) - 1).alias("chunk_idx"), "chunk")
+    n = F.greatest(F.lit(0), F.ceil((F.length("t") - size) / step)).cast("int") + 1
+    # every match takes a step and looks ahead over a chunk
+    whole = F.slice(F.regexp_extract_all("t", F.lit(rf"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1)), F.lit(1), n)
+    kept = F.filter(F.transform(whole, lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), lambda c: F.length(c) > 0)
+    return t.select("item", F.posexplode(kept).alias("chunk_idx", "chunk"))
 
 
 def greedy_diverse(df: DataFrame, group: str, key: str, a: str, b: str, k: int = 3) -> DataFrame:

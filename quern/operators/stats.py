@@ -145,11 +145,14 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, strata: int
 
 def split_by_group(df: DataFrame, group: str, share: float = 0.05, seed: int = 42) -> DataFrame:
     """Adds ``split``: groups in shuffled order go to 'val' until it holds at least the share of all rows; the rest is 'train'."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(hash_order(group, seed=seed), group)
-    # one row per group; the running sum over them is what the rule asks for
-    cut = sizes.withColumn("__before", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__all", F.sum("__n").over(Window.partitionBy(F.lit(0))))
-    side = cut.select(group, F.when(F.coalesce("__before", F.lit(0)) < F.col("__all") * share, "val").otherwise("train").alias("split"))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).withColumn("__o", hash_order(group, seed=seed)).withColumn("__range", F.substring("__o", 1, 3))
+    # ranges of the order are counted first, of which there are 4096; the running sum over groups stays within a range
+    ranges = sizes.groupBy("__range").agg(F.sum("__n").alias("__in"))
+    every = Window.partitionBy(F.lit(0))
+    offsets = ranges.select("__range", (F.sum("__in").over(every.orderBy("__range")) - F.col("__in")).alias("__from"), F.sum("__in").over(every).alias("__all"))
+    w = Window.partitionBy("__range").orderBy("__o", group).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = sizes.withColumn("__to", F.sum("__n").over(w)).join(F.broadcast(offsets), "__range")
+    side = cut.select(group, F.when(F.col("__from") + F.col("__to") - F.col("__n") < F.col("__all") * share, "val").otherwise("train").alias("split"))
     return df.join(side, df[group].eqNullSafe(side[group])).drop(side[group])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ def get_spark(app: str = "quern", cpus: str | int = "*", partitions: int = 8) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("QUERN_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -26,12 +28,15 @@ def get_spark(app: str = "quern", cpus: str | int = "*", partitions: int = 8) ->
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint, which outlives executors.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset a local session, as in
+    tests, uses a temporary folder; a cluster has none that all machines share, and the call fails. Files are removed
+    with the data they hold if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true, as ``get_spark`` sets it.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return df.checkpoint()
 
