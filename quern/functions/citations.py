@@ -60,13 +60,17 @@ def format_citation(c: Column) -> Column:
 ARTICLE, ARTICLE_STRICT = "[ĐđDd]i[ềê]u", "[ĐDd]i[ềê]u"
 
 
+# A clause of an article as questions write it, and the number after a word.
+CLAUSE_OF_ARTICLE = r"[Kk]ho[ảà]n\s+(\d+[\p{{L}}\p{{N}}_]*)\s+(?:c[ủù]a\s+)?{article}\s+(\d+[\p{{L}}\p{{N}}_]*)"
+
+
 def structured_cites(question: Column, strict: bool = True) -> Column:
     """(dieu, khoan) pairs a question names: array of structs, pairs with a clause first.
 
     An article named alone is left out if it also comes with a clause. ``strict`` keeps to capital or plain d.
     """
     article = ARTICLE_STRICT if strict else ARTICLE
-    with_clause = rf"[Kk]ho[ảà]n\s+(\d+[\p{{L}}\p{{N}}_]*)\s+(?:c[ủù]a\s+)?{article}\s+(\d+[\p{{L}}\p{{N}}_]*)"
+    with_clause = CLAUSE_OF_ARTICLE.format(article=article)
     q = F.coalesce(question, F.lit(""))
     khoan, dieu = F.regexp_extract_all(q, F.lit(with_clause), F.lit(1)), F.regexp_extract_all(q, F.lit(with_clause), F.lit(2))
     pairs = F.zip_with(dieu, khoan, lambda d, k: F.struct(d.alias("dieu"), k.alias("khoan")))

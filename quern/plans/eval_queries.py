@@ -30,7 +30,33 @@ def _r(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "eval_result")
 
 
-@query()
+def _same(field: str) -> str:
+    return f"nullif(lower(trim(p[i + 1].{field})), '') IS NOT DISTINCT FROM nullif(lower(trim(g[j].{field})), '')"
+
+
+def _fold(level: str, name: str) -> str:
+    """SQL of the greedy matching: prediction by prediction, each with the first free ground truth it meets; a null field of that meets all."""
+    fields = {"van_ban": ["van_ban"], "dieu": ["van_ban", "dieu"]}.get(level, ["van_ban", "dieu"])
+    deeper = {"khoan": ["khoan"], "diem": ["khoan", "diem"]}.get(level, [])
+    meets = " AND ".join([*map(_same, fields), *(f"(nullif(trim(g[j].{f}), '') IS NULL OR {_same(f)})" for f in deeper)])
+    return f"""{name}(result_id, i, used, hit) AS (SELECT result_id, 0, []::bigint[], []::boolean[] FROM x UNION ALL
+SELECT result_id, i + 1, CASE WHEN spot IS NULL THEN used ELSE list_append(used, spot) END, list_append(hit, spot IS NOT NULL) FROM (
+  SELECT result_id, i, used, hit, list_filter(range(1, len(g) + 1), lambda j: NOT list_contains(used, j) AND {meets})[1] AS spot FROM {name} JOIN x USING (result_id) WHERE i < len(p)))"""
+
+
+_X = "x AS (SELECT result_id, gap_type, coalesce(pred_citations, []) AS p, coalesce(ground_truth_citations, []) AS g FROM eval_result{where})"
+
+
+def _score_columns(level: str) -> str:
+    prec, rec = f"CASE WHEN len(p) > 0 THEN m_{level} / len(p) WHEN len(g) = 0 THEN 1.0::double ELSE 0.0::double END", f"CASE WHEN len(g) > 0 THEN m_{level} / len(g) ELSE 1.0::double END"
+    return f"{prec} AS {level}_precision, {rec} AS {level}_recall, CASE WHEN ({prec}) + ({rec}) > 0 THEN 2 * ({prec}) * ({rec}) / (({prec}) + ({rec})) ELSE 0.0::double END AS {level}_f1, m_{level} AS {level}_match_count"
+
+
+_LEVEL_COUNTS = ", ".join(f"c_{lv} AS (SELECT result_id, len(used)::int AS m_{lv} FROM f_{lv} JOIN x USING (result_id) WHERE i = len(p))" for lv in metrics.LEVELS)
+
+
+@query(f"""WITH RECURSIVE {_X.format(where='')}, {', '.join(_fold(lv, f'f_{lv}') for lv in metrics.LEVELS)}, {_LEVEL_COUNTS}
+SELECT result_id, {', '.join(map(_score_columns, metrics.LEVELS))} FROM x {' '.join(f'JOIN c_{lv} USING (result_id)' for lv in metrics.LEVELS)}""")
 def citation_scores(spark, sf_dir):
     p, g = F.col("pred_citations"), F.col("ground_truth_citations")
     levels = [metrics.citation_score(p, g, lv).alias(lv) for lv in metrics.LEVELS]
@@ -101,7 +127,13 @@ def quantile_rules(spark, sf_dir):
     return lower.join(clipped, "system").join(n, "system").select("system", "p95_lower", "p95_clipped", "median", "p90")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_X.format(where=' WHERE pred_citations IS NOT NULL AND ground_truth_citations IS NOT NULL')}, {_fold('khoan', 'f')},
+m AS (SELECT x.*, used, hit FROM f JOIN x USING (result_id) WHERE i = len(p)), k AS (SELECT *, [nullif(lower(trim(c.van_ban)), '') FOR c IN p] AS pk FROM m),
+e AS (SELECT gap_type, 'negative_fail' AS error FROM k WHERE gap_type = 'negative' AND len(p) > 0
+UNION ALL SELECT gap_type, CASE WHEN v IS NOT NULL AND list_contains(pk, v) THEN 'generation_fail' ELSE 'retrieval_fail' END FROM (
+  SELECT gap_type, pk, used, unnest([nullif(lower(trim(c.van_ban)), '') FOR c IN g]) AS v, unnest(range(1, len(g) + 1)) AS j FROM k WHERE gap_type IS DISTINCT FROM 'negative') WHERE NOT list_contains(used, j)
+UNION ALL SELECT gap_type, 'over_cite' FROM (SELECT gap_type, unnest(hit) AS h FROM k WHERE gap_type IS DISTINCT FROM 'negative') WHERE NOT h)
+SELECT gap_type, error, count(*) AS n FROM e GROUP BY ALL""")
 def error_taxonomy(spark, sf_dir):
     return metrics.error_taxonomy(_r(spark, sf_dir)).groupBy("gap_type", "error").agg(F.count(F.lit(1)).alias("n"))
 

@@ -319,7 +319,12 @@ def contexts(spark, sf_dir):
     return retrieval.assemble_context(u).select("q", F.md5("context").alias("context_md5"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_UNITS}, {_allocate('units')}, texts AS (SELECT a.q, a.item, a.rank = 1 AS gold, a.score, greatest(1, floor(length(coalesce(t.text, '')) / 3.5)::int) AS tokens
+  FROM alloc a JOIN scored_text_unit s ON s.row_id = a.item JOIN text_unit t ON t.id = s.text_unit_id),
+line AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY NOT gold, -score, item) AS pos FROM texts),
+fold(q, pos, used, item, tokens, kept) AS (SELECT q, 0, 0, 0, 0, false FROM (SELECT DISTINCT q FROM line) UNION ALL
+  SELECT l.q, l.pos, f.used + CASE WHEN l.gold OR f.used + l.tokens <= 1000 THEN l.tokens ELSE 0 END, l.item, l.tokens, l.gold OR f.used + l.tokens <= 1000 FROM fold f JOIN line l ON l.q = f.q AND l.pos = f.pos + 1)
+SELECT q, item, tokens FROM fold WHERE kept""")
 def greedy_pack(spark, sf_dir):
     kept = retrieval.capped_allocation(_units(spark, sf_dir))
     ids = table(spark, sf_dir, "scored_text_unit").select(F.col("row_id").alias("item"), "text_unit_id")
@@ -327,7 +332,12 @@ def greedy_pack(spark, sf_dir):
     return retrieval.first_fit(kept.join(ids, "item").join(t, "text_unit_id").withColumn("gold", F.col("rank") == 1), 1000)
 
 
-@query()
+@query("""WITH d AS (SELECT id, any_value(gap_type) AS gap_type, coalesce(any_value(theme), '-') AS theme, any_value(difficulty) AS difficulty FROM eval_question GROUP BY id),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gap_type ORDER BY id) AS rn FROM d) WHERE rn = 1),
+b AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY d.gap_type ORDER BY (d.theme = a.theme)::int, (d.difficulty = a.difficulty)::int, d.id) AS rn FROM d JOIN a ON d.gap_type = a.gap_type AND d.id <> a.id) WHERE rn = 1),
+c AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY d.gap_type ORDER BY (d.theme = a.theme)::int + (d.theme = b.theme)::int, (d.difficulty = a.difficulty)::int + (d.difficulty = b.difficulty)::int, d.id) AS rn
+  FROM d JOIN a ON d.gap_type = a.gap_type AND d.id <> a.id JOIN b ON d.gap_type = b.gap_type AND d.id <> b.id) WHERE rn = 1)
+SELECT id, gap_type, theme, difficulty, 1 AS pick FROM a UNION ALL SELECT id, gap_type, theme, difficulty, 2 FROM b UNION ALL SELECT id, gap_type, theme, difficulty, 3 FROM c""")
 def greedy_diverse(spark, sf_dir):
     q = table(spark, sf_dir, "eval_question").dropDuplicates(["id"]).select("id", "gap_type", F.coalesce("theme", F.lit("-")).alias("theme"), "difficulty")
     return retrieval.greedy_diverse(q, "gap_type", "id", "theme", "difficulty", 3)

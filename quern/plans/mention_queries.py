@@ -109,7 +109,7 @@ def gold_texts(questions: DataFrame, units: DataFrame) -> DataFrame:
     """Texts of the leaves a question's ground truth names, put together: ``q, n_units, context_md5``.
 
     Articles match by their number, appendices where one label begins with the other or '_default' takes any; clause and
-    point where they are named. The first 2200 characters count, as in the reference.
+    point where they are named. The first 2200 characters count.
     """
     g = questions.select(F.col("id").alias("q"), F.explode("ground_truth_citations").alias("c"))
     g = g.select("q", F.lower(F.trim("c.van_ban")).alias("v"), "c.loai", *[F.trim(f"c.{x}").alias(f"g_{x}") for x in ("dieu", "khoan", "diem")]).distinct()
