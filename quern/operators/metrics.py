@@ -167,3 +167,11 @@ def ranking_metrics(ranked: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (
     joined = t.join(best, ["q", "item"], "left")
     recalls = [(F.count_if(F.col("rank") <= k) / F.count(F.lit(1))).alias(f"recall_{k}") for k in ks]
     return joined.groupBy("q").agg(*recalls, F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("mrr"))
+
+
+def verdict(grounded: Column, supported: Column | None = None, drop_unsupported: bool = False) -> Column:
+    """What becomes of a citation: 'drop' where the context doesn't hold it, 'flag' (or 'drop') where a judge found its text doesn't support it, else 'keep'."""
+    out = F.when(~F.coalesce(grounded, F.lit(False)), F.lit("drop"))
+    if supported is not None:
+        out = out.when(~F.coalesce(supported, F.lit(True)), F.lit("drop" if drop_unsupported else "flag"))
+    return out.otherwise(F.lit("keep"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.dates import temporal_anchor
-from quern.functions.text import fenced_json
+from quern.functions.text import document_number, fenced_json, strip_marks
 
 PLAN_SCHEMA = (
     "theme string, procedure string, jurisdiction string, temporal string, response_mode string,"
@@ -36,6 +36,50 @@ def cleaned_plan(raw: Column) -> Column:
     )
 
 
+# Themes that are national where no place is named, and stages of a case that may fall under two laws.
+NATIONAL_THEMES = ("ho-tich", "nuoi-con-nuoi")
+SPANNING = ("do-dang", "moi")
+
+
+def settled_plan(raw: Column, force_jurisdiction: str | None = None) -> Column:
+    """A planner's answer as the plan that is carried out: values checked, defaults filled in.
+
+    Themes that are national take that jurisdiction where none is named, then ``force_jurisdiction`` stands in. Where
+    the question has a time, a case that is open or new filters by none, as it may fall under two laws, another by its
+    anchor; vague anchors filter nothing.
+    """
+    p, clean = F.from_json(fenced_json(raw), PLAN_SCHEMA), cleaned_plan(raw)
+    intent = p["temporal_intent"]
+    national = F.when(clean["theme"].isin(*NATIONAL_THEMES), F.lit("toan-quoc"))
+    dated = F.when(~F.coalesce(intent["case_status"].isin(*SPANNING), F.lit(False)), temporal_anchor(intent["temporal_anchor"]))
+    return F.struct(
+        clean["theme"].alias("theme"),
+        clean["procedure"].alias("procedure"),
+        forced(F.coalesce(clean["jurisdiction"], national), force_jurisdiction).alias("jurisdiction"),
+        clean["response_mode"].alias("response_mode"),
+        F.when(F.coalesce(intent["has_temporal_context"], F.lit(False)), dated).otherwise(temporal_anchor(p["temporal"])).alias("temporal"),
+    )
+
+
+# Document numbers and identifiers as texts name them.
+NUMBER_IN_TEXT = r"(?iu)(?<![\p{L}\p{N}_])\d{1,4}/\d{4}/(?:nđ-cp|nd-cp|nq-hđnd|nq-hdnd|qđ-ubnd|qd-ubnd|qh\d+|tt-[a-zđ-]+)(?![\p{L}\p{N}_])"
+ID_IN_TEXT = r"(?<![\p{L}\p{N}_])(?:luat|nghi-dinh|thong-tu|quyet-dinh|nghi-quyet)-[a-z0-9-]+(?![\p{L}\p{N}_])"
+
+
+def theme_from_references(texts: DataFrame, norms: DataFrame) -> DataFrame:
+    """The theme of the documents a text names, by number or identifier: ``key, theme``; texts whose documents have several, or none, are left out.
+
+    ``texts(key, text)``, ``norms(id, title, theme)``. References are joined by equality, so a document many texts name
+    meets one row.
+    """
+    number = lambda c: F.lower(strip_marks(c))
+    named = F.concat(F.transform(F.regexp_extract_all("text", F.lit(NUMBER_IN_TEXT), F.lit(0)), number), F.regexp_extract_all("text", F.lit(ID_IN_TEXT), F.lit(0)))
+    refs = texts.select("key", F.explode(F.array_distinct(named)).alias("ref"))
+    known = norms.where(F.col("theme").isin(*THEMES)).select("theme", F.explode(F.array(F.lower("id"), document_number(F.col("title")))).alias("ref")).where("ref is not null").distinct()
+    found = refs.join(known, "ref").select("key", "theme").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("theme").alias("theme"))
+    return found.where("n = 1").select("key", "theme")
+
+
 def forced(column: Column, value: str | None) -> Column:
     """A value that stands in where the plan has none."""
     return column if value is None else F.coalesce(column, F.lit(value))

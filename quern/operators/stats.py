@@ -136,6 +136,15 @@ def hash_order(*cols: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
+def blinded(results: DataFrame, question: str = "id", system: str = "system", seed: int = 42) -> DataFrame:
+    """Answers under names that don't tell their system: adds ``slot`` and ``iid`` ('question#slot'); ``iid, system`` is the key to keep apart.
+
+    Within a question systems are in a shuffled, repeatable order; ``results`` has one row for each question and system.
+    """
+    w = Window.partitionBy(question).orderBy(hash_order(question, system, seed=seed), system)
+    return results.withColumn("slot", F.row_number().over(w)).withColumn("iid", F.concat_ws("#", F.col(question).cast("string"), F.col("slot").cast("string")))
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, strata: int, order: Callable[[], Column] | None = None) -> DataFrame:
     """``n // strata`` rows of each stratum by a repeatable shuffle, ``n`` in all at most."""
     o = order() if order else hash_order(key)
