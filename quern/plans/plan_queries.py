@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import citations, mentions, text
-from quern.operators import graph, metrics, question_plans, retrieval, stats, validate
+from quern.operators import graph, graph_build, metrics, question_plans, retrieval, stats, validate
 from quern.plans.data_queries import _CURRENT
 from quern.plans.eval_queries import ORACLE as EVAL_ORACLE
 from quern.plans.eval_queries import QUERIES as EVAL_QUERIES
-from quern.plans.graph_queries import _LINKS, _SEEDS, _edges
+from quern.plans.graph_queries import _LINKS, _MAPS, _SEEDS, _concepts, _edges
 from quern.plans.text_queries import norms
 from quern.session import cut, spread
 from quern.sources import documents, sinks
+from quern.streaming import traces
 from quern.tables import table
 
 QUERIES: dict = {}
@@ -295,3 +296,48 @@ def longest_first(spark, sf_dir):
 def labelled_kappa(spark, sf_dir):
     k = EVAL_QUERIES["pairwise_kappa"](spark, sf_dir)
     return k.withColumn("label", stats.agreement_label(F.col("kappa")))
+
+
+# --- streams and the whole graph
+
+
+@query("""SELECT event_id, 'data: {"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}' || chr(10) || chr(10) AS frame FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL""")
+def event_frames(spark, sf_dir):
+    e = table(spark, sf_dir, "events").dropna(subset=["event_id", "user_id", "event_type"])
+    return traces.frames(e, "event_id", "user_id", "event_type").select("event_id", "frame")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+walk(user_id, event_id, pos, free, admitted) AS (SELECT user_id, event_id, pos, ts + INTERVAL 6 HOUR, true FROM e WHERE pos = 1 UNION ALL
+  SELECT e.user_id, e.event_id, e.pos, CASE WHEN e.ts >= w.free THEN e.ts + INTERVAL 6 HOUR ELSE w.free END, e.ts >= w.free FROM walk w JOIN e ON e.user_id = w.user_id AND e.pos = w.pos + 1)
+SELECT user_id, event_id, admitted FROM walk UNION ALL SELECT user_id, event_id, false FROM events WHERE user_id IS NULL OR ts IS NULL""")
+def single_flight(spark, sf_dir):
+    """Events of each user, admitted if none was in the six hours before that was."""
+    return traces.single_flight(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 6 * 3600)
+
+
+_NODES = f"""{_LINKS}, {_MAPS},
+u AS (SELECT id, ctv_id, component_id, lower(trim(norm_id)) AS norm FROM text_unit),
+nodes AS (SELECT DISTINCT kind, id FROM (
+  SELECT 'Norm' AS kind, key AS id FROM cur UNION ALL SELECT 'Theme', theme FROM cur UNION ALL SELECT 'Jurisdiction', jurisdiction FROM cur UNION ALL SELECT 'Component', component_id FROM u
+  UNION ALL SELECT 'CTV', ctv_id FROM u UNION ALL SELECT 'TextUnit', id FROM u UNION ALL SELECT 'Concept', concept FROM maps UNION ALL SELECT 'Concept', concept FROM requires UNION ALL SELECT 'Procedure', procedure FROM requires) WHERE length(id) > 0)"""
+_ALL_EDGES = """raw AS (SELECT rel, 'Norm' AS sk, src, 'Norm' AS dk, dst FROM links UNION ALL SELECT 'INCLUDES', 'Theme', theme, 'Norm', key FROM cur UNION ALL SELECT 'APPLIES_IN', 'Norm', key, 'Jurisdiction', jurisdiction FROM cur
+  UNION ALL SELECT 'HAS_COMPONENT', 'Norm', norm, 'Component', component_id FROM u UNION ALL SELECT 'HAS_VERSION', 'Component', component_id, 'CTV', ctv_id FROM u UNION ALL SELECT 'HAS_TEXT', 'CTV', ctv_id, 'TextUnit', id FROM u
+  UNION ALL SELECT 'MAPS_TO_CONCEPT', 'Component', component, 'Concept', concept FROM maps UNION ALL SELECT 'REQUIRES_CONCEPT', 'Procedure', procedure, 'Concept', concept FROM requires)"""
+
+
+@query(f"WITH {_NODES} FROM nodes")
+def graph_nodes(spark, sf_dir):
+    return graph_build.nodes(*_graph_tables(spark, sf_dir))
+
+
+@query(f"WITH {_NODES}, {_ALL_EDGES} SELECT DISTINCT rel, src, dst FROM raw r WHERE EXISTS (FROM nodes n WHERE n.kind = r.sk AND n.id = r.src) AND EXISTS (FROM nodes n WHERE n.kind = r.dk AND n.id = r.dst)")
+def graph_edges(spark, sf_dir):
+    tables = _graph_tables(spark, sf_dir)
+    return graph_build.edges(graph_build.nodes(*tables), *tables)
+
+
+def _graph_tables(spark, sf_dir):
+    u = table(spark, sf_dir, "text_unit").select("id", "ctv_id", "component_id", F.lower(F.trim("norm_id")).alias("norm"))
+    maps, requires = _concepts(spark, sf_dir)
+    return norms(spark, sf_dir), u, maps, requires

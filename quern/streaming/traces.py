@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -68,3 +69,49 @@ def run_available(stream: DataFrame, spark: SparkSession, name: str, checkpoint:
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def frames(events: DataFrame, *columns: str) -> DataFrame:
+    """Events as frames of a server's event stream: adds ``frame``, ``data:`` and the named columns as JSON, then a blank line."""
+    return events.withColumn("frame", F.concat(F.lit("data: "), F.to_json(F.struct(*columns)), F.lit("\n\n")))
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str, every: str | None = "50 milliseconds") -> StreamingQuery:
+    """Starts to write what has arrived, again and again, without waiting for more; ``every`` of None works off what is there and ends.
+
+    Each batch goes to a folder of its own number, which is overwritten if the batch is run again after a loss, so
+    every event is written once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if every is None else w.trigger(processingTime=every)).start()
+
+
+def single_flight(requests: DataFrame, key: str, at: str, order: str, seconds: float) -> DataFrame:
+    """Requests with ``admitted``: whether its key was idle, each admitted one keeping it busy for so many seconds.
+
+    A request depends on all before it, so a key's requests pass one task in order of time, then ``order``; nothing but
+    the end of the last admitted one is kept. Requests without a key or time are never admitted.
+    """
+    kinds = dict(requests.dtypes)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = requests.select(key, order, micros.alias("__at")).where(F.col(key).isNotNull() & F.col("__at").isNotNull())
+    busy = int(seconds * 1_000_000)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, free = None, 0
+        for b in batches:
+            flags = []
+            for k, t in zip(b[key], b["__at"]):
+                if k != last:
+                    last, free = k, t
+                flags.append(t >= free)
+                free = t + busy if t >= free else free
+            yield pd.DataFrame({key: b[key], order: b[order], "admitted": flags})
+
+    known = rows.repartition(key).sortWithinPartitions(key, "__at", order).mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, admitted boolean")
+    others = requests.where(F.col(key).isNull() | micros.isNull()).select(key, order, F.lit(False).alias("admitted"))
+    return known.unionByName(others)
