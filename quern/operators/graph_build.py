@@ -28,7 +28,7 @@ def edges(known: DataFrame, norms: DataFrame, units: DataFrame, maps: DataFrame,
     Ends are joined by kind and id, so an edge that names what isn't there is left out, whatever names it.
     """
     part = lambda df, rel, sk, src, dk, dst: df.select(F.lit(rel).alias("rel"), F.lit(sk).alias("sk"), F.col(src).alias("src"), F.lit(dk).alias("dk"), F.col(dst).alias("dst"))
-    norm = norm_edges(norms).select("rel", F.lit("Norm").alias("sk"), "src", F.lit("Norm").alias("dk"), "dst")
+    norm = norm_edges(norms.withColumn("id", F.col("key"))).select("rel", F.lit("Norm").alias("sk"), "src", F.lit("Norm").alias("dk"), "dst")
     parts = [
         norm,
         part(norms, "INCLUDES", "Theme", "theme", "Norm", "key"),
