@@ -38,16 +38,17 @@ def _ranked_within(ranked: DataFrame, units: DataFrame, within: DataFrame, most:
     return retrieval.top_k(own, most).select("q", "item", F.col("rank"))
 
 
-def search(within: DataFrame, units: DataFrame, dense: DataFrame, lexical: DataFrame, boosted: DataFrame, cited: DataFrame, rarity: DataFrame, k: int = 25) -> DataFrame:
+def search(within: DataFrame, units: DataFrame, dense: DataFrame, lexical: DataFrame, boosted: DataFrame, cited: DataFrame, rarity: DataFrame, procedures: DataFrame, k: int = 25) -> DataFrame:
     """Units of the searched documents, ranked and allocated: ``q, item, norm, tier, score, rank``.
 
     ``within(q, norm)``; ``units(item, norm, component, tier)``; ``dense`` and ``lexical(q, item, score)`` are fused by their
     ranks; ``boosted(q, component)`` and ``cited(q, item)`` bring in units of their own, the first multiplied, the second
-    allocated before all others; ``rarity(q, component, rarity)``. Everything is joined by keys; what is joined
-    to the units of a question is bounded by its lists and its searched documents.
+    allocated before all others; ``rarity(procedure, component, rarity)`` counts for questions of that procedure,
+    ``procedures(q, procedure)`` with one row each. Everything is joined by keys; what is joined to the units of a
+    question is bounded by its lists and its searched documents.
     """
     pool = retrieval.pool_size(k)
-    d, l = _ranked_within(dense, units, within, pool), _ranked_within(lexical, units, within, pool)
+    d, l = cut(_ranked_within(dense, units, within, pool)), cut(_ranked_within(lexical, units, within, pool))
     sizes = F.count(F.lit(1)).alias("n")
     fused = d.select("q", "item", (F.col("rank") - 1).alias("dr")).join(l.select("q", "item", (F.col("rank") - 1).alias("kr")), ["q", "item"], "full_outer")
     place = units.select("item", "norm", "component", "tier")
@@ -57,7 +58,8 @@ def search(within: DataFrame, units: DataFrame, dense: DataFrame, lexical: DataF
     every = fused.unionByName(extra.select("q", "item", F.lit(None).cast("int").alias("dr"), F.lit(None).cast("int").alias("kr")))
     every = every.join(d.groupBy("q").agg(sizes.alias("nd")), "q", "left").join(l.groupBy("q").agg(sizes.alias("nk")), "q", "left").join(place, "item")
     every = every.join(boosted.select("q", "component").distinct().withColumn("boosted", F.lit(True)), ["q", "component"], "left")
-    every = every.join(named.withColumn("cited", F.lit(True)), ["q", "item"], "left").join(rarity, ["q", "component"], "left")
+    every = every.join(named.withColumn("cited", F.lit(True)), ["q", "item"], "left")
+    every = every.join(procedures, "q", "left").join(rarity, ["procedure", "component"], "left")
     none = F.lit(0).cast("bigint")
     score = retrieval.rrf_score(F.coalesce("dr", "nd", none), F.coalesce("kr", "nk", none), F.col("tier"), F.coalesce("boosted", F.lit(False)), F.col("rarity"))
     scored = every.select("q", "item", "norm", "tier", F.round(score, 9).alias("score"), F.col("dr").alias("dense_rank"), F.coalesce("cited", F.lit(False)).alias("cited"))

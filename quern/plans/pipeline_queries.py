@@ -59,7 +59,7 @@ def question_pipeline(spark, sf_dir, ablation: str = "full") -> DataFrame:
     asked = _asked(spark, sf_dir).select(F.col("id").alias("q"), "question", "theme", "jurisdiction", F.when(~F.col("gap_type").eqNullSafe("gap4"), F.lit(AS_OF)).alias("temporal"))
     tiers = n.select(F.col("key").alias("norm"), F.coalesce("tier", F.lit(1)).alias("tier"))
     t = table(spark, sf_dir, "text_unit").select(F.col("id").alias("item"), F.lower(F.trim("norm_id")).alias("norm"), F.col("component_id").alias("component"), "context_path", "amendments")
-    units = t.join(tiers, "norm")
+    units = cut(t.join(tiers, "norm"))
     s = table(spark, sf_dir, "scored_text_unit").where("question_id is not null and rrf_score is not null")
     seen = cut(s.groupBy(F.col("question_id").alias("q"), F.col("text_unit_id").alias("item")).agg(F.max("rrf_score").alias("score")))
     seeds = pipeline.seed_norms(seen.join(units.select("item", "norm"), "item"))
@@ -68,12 +68,13 @@ def question_pipeline(spark, sf_dir, ablation: str = "full") -> DataFrame:
     texts = table(spark, sf_dir, "text_unit").select(F.col("id").alias("item"), "text")
     lexical = retrieval.bm25_top_k(asked.select("q", F.col("question").alias("text")), texts, 200)
     amended = units.select("component", F.explode(F.transform("amendments", lambda a: F.lower(F.trim(a["amending_norm"])))).alias("norm")).distinct()
-    boosted = within.join(amended, "norm").select("q", "component").distinct()
+    boosted = cut(within.join(amended, "norm").select("q", "component").distinct())
     asks = asked.select("q", F.explode(citations.structured_cites(F.col("question"))).alias("c")).select("q", "c.dieu", F.col("c.khoan").alias("asked_khoan")).distinct()
     leaves = units.select("item", leaf_place(F.col("context_path")).alias("p")).select("item", "p.dieu", "p.khoan")
     cited = asks.join(leaves, "dieu").where("asked_khoan is null or asked_khoan = khoan").select("q", "item")
-    rarity = graph.rarity_score(*_concepts(spark, sf_dir)).join(asked.select("q", F.col("theme").alias("procedure")), "procedure").groupBy("q", "component").agg(F.max("score").alias("rarity"))
-    kept = pipeline.search(within, units.select("item", "norm", "component", "tier"), seen, lexical, boosted, cited, rarity)
+    rarity = graph.rarity_score(*_concepts(spark, sf_dir)).groupBy("procedure", "component").agg(F.max("score").alias("rarity"))
+    procedures = asked.select("q", F.col("theme").alias("procedure"))
+    kept = pipeline.search(within, units.select("item", "norm", "component", "tier"), seen, lexical, boosted, cited, rarity, procedures)
     return retrieval.budget_prune(kept.join(texts, "item"), TOKEN_BUDGET).select("q", "item", "norm", "score", "rank", "used")
 
 

@@ -56,15 +56,16 @@ def test_search_brings_in_boosted_and_cited_units(spark):
     none = spark.createDataFrame([], "q string, item string, score double")
     boosted = spark.createDataFrame([("q", "c11"), ("q", "c9"), ("q", "c11")], "q string, component string")
     cited = spark.createDataFrame([("q", "u10"), ("q", "u0")], "q string, item string")
-    rarity = spark.createDataFrame([("q", "c4", 1.0)], "q string, component string, rarity double")
-    got = pipeline.search(within, units, dense, none, boosted, cited, rarity).collect()
+    rarity = spark.createDataFrame([("p", "c4", 1.0), ("other", "c4", 0.5)], "procedure string, component string, rarity double")
+    procedures = spark.createDataFrame([("q", "p"), ("r", None)], "q string, procedure string")
+    got = pipeline.search(within, units, dense, none, boosted, cited, rarity, procedures).collect()
     q = {r.item: r for r in got if r.q == "q"}
     # u0, u3, u6, u9 are of a document that isn't searched; a document has three units at most, cited ones first, so u7 stays out
     assert set(q) == {"u1", "u2", "u4", "u5", "u10", "u11"} and {r.item for r in got if r.q == "r"} == {"u1"}
     assert max(q.values(), key=lambda r: r.score).item == "u11" and all(r.norm != "n0" for r in got)
     # u4 is third of the dense list of five, absent from the lexical one of none, of tier 1 and as rare as can be
     assert math.isclose(q["u4"].score, (1 / 62 + 1 / 60) * 1.1 * 2.5, abs_tol=1e-9)
-    empty = pipeline.search(within.limit(0), units, dense, none, boosted, cited, rarity)
+    empty = pipeline.search(within.limit(0), units, dense, none, boosted, cited, rarity, procedures)
     assert empty.count() == 0
 
 
