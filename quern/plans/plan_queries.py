@@ -261,6 +261,29 @@ def heading_spacing(spark, sf_dir):
     return validate.spacing_problems(d.select(F.col("result_id").alias("doc"), F.posexplode(F.split("answer", "\n")).alias("pos", "line")))
 
 
+_LINES = r"""l AS (SELECT result_id AS norm_id, unnest(x) AS raw, unnest(range(0, len(x)))::int AS pos FROM (SELECT result_id, string_split(regexp_replace(answer, '(?s)<!--.*?-->', '', 'g'), chr(10)) AS x FROM eval_result WHERE answer IS NOT NULL)),
+m AS (SELECT norm_id, pos, trim(raw, ' ') AS line, length(regexp_extract(raw, '^(#+) \S', 1)) AS n, trim(regexp_replace(raw, '^#+ ', ''), ' ') AS head FROM l),
+k AS (SELECT *, max(n > 0) OVER (PARTITION BY norm_id ORDER BY pos) AS seen FROM m)"""
+
+
+@query(f"""WITH {_LINES} SELECT * FROM (SELECT norm_id, pos, CASE WHEN n = 1 OR n > 5 THEN 'level' WHEN n = 2 AND NOT regexp_matches(head, '^(Điều|Phụ lục)([^\p{{L}}\p{{N}}_]|$)') OR n = 3 AND NOT regexp_matches(head, '^Khoản([^\p{{L}}\p{{N}}_]|$)')
+  OR n = 4 AND NOT regexp_matches(head, '^Điểm([^\p{{L}}\p{{N}}_]|$)') OR n = 5 AND NOT regexp_matches(head, '^Tiết([^\p{{L}}\p{{N}}_]|$)') THEN 'kind' WHEN n = 0 AND line <> '' AND NOT seen THEN 'text before a heading' END AS problem FROM k) WHERE problem IS NOT NULL""")
+def heading_problems(spark, sf_dir):
+    """What a strict parser of documents objects to in answers."""
+    return documents.heading_problems(spread(table(spark, sf_dir, "eval_result").select("result_id", "answer")), "result_id", "answer")
+
+
+@query(f"""WITH {_LINES}, f AS (SELECT *, last_value(CASE WHEN n BETWEEN 2 AND 5 THEN pos END IGNORE NULLS) OVER w AS at_pos,
+  {', '.join(f"last_value(CASE WHEN n = {n} THEN pos END IGNORE NULLS) OVER w AS p{n}, last_value(CASE WHEN n = {n} THEN head END IGNORE NULLS) OVER w AS h{n}" for n in range(2, 6))} FROM k WINDOW w AS (PARTITION BY norm_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT norm_id, pos, coalesce(at_pos, -1) AS ord, line, list_filter([norm_id::varchar, h2, CASE WHEN p3 > coalesce(p2, -1) THEN h3 END, CASE WHEN p4 > greatest(coalesce(p2, -1), coalesce(p3, -1)) THEN h4 END,
+  CASE WHEN p5 > greatest(coalesce(p2, -1), coalesce(p3, -1), coalesce(p4, -1)) THEN h5 END], lambda x: x IS NOT NULL) AS path FROM f WHERE NOT n BETWEEN 2 AND 5 AND line <> '')
+SELECT norm_id, ord, substr(sha256(array_to_string(any_value(path), '>')), 1, 16) AS unit_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5 FROM t GROUP BY norm_id, ord""")
+def lenient_units(spark, sf_dir):
+    """Leaf units of answers as documents, headings of any kind kept."""
+    r = spread(table(spark, sf_dir, "eval_result").select(F.col("result_id").cast("string").alias("norm_id"), F.col("answer").alias("body")))
+    return documents.leaf_units(r, strict=False).select(F.col("norm_id").cast("bigint").alias("norm_id"), "ord", "unit_id", F.md5("text").alias("text_md5"))
+
+
 # --- caches, samples, labels
 
 

@@ -97,18 +97,38 @@ def original_version(text: Column) -> Column:
     return F.when(label.isNotNull(), F.struct(label.alias("date_label"), F.trim(F.regexp_extract(text, ORIGINAL, 2)).alias("text")))
 
 
-def leaf_units(docs: DataFrame, key: str = "norm_id", body: str = "body", strict: bool = True) -> DataFrame:
+# What headings of each level begin with.
+HEADINGS = {2: ("Điều", "Phụ lục"), 3: ("Khoản",), 4: ("Điểm",), 5: ("Tiết",)}
+
+
+def _lines(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """Lines of texts with their place, heading level (null for text), heading and what is wrong with them."""
+    line = docs.select(F.col(key).alias("norm_id"), F.posexplode(F.split(F.regexp_replace(F.col(body), r"(?s)<!--.*?-->", ""), "\n")).alias("pos", "raw"))
+    signs = F.length(F.regexp_extract("raw", r"^(#+) \S", 1))
+    head = F.when(signs > 0, F.trim(F.regexp_replace("raw", r"^#+ ", "")))
+    wrong = F.when((signs == 1) | (signs > 5), F.lit("level"))
+    for level, kinds in HEADINGS.items():
+        wrong = wrong.when((signs == level) & ~head.rlike(rf"^(?:{'|'.join(kinds)})(?![\p{{L}}\p{{N}}_])"), F.lit("kind"))
+    seen = F.max(signs > 0).over(Window.partitionBy("norm_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    wrong = wrong.when((signs == 0) & (F.length(F.trim("raw")) > 0) & ~seen, F.lit("text before a heading"))
+    usual = signs.between(2, 5)
+    return line.select("norm_id", "pos", F.trim("raw").alias("line"), F.when(usual, signs).alias("level"), F.when(usual, head).alias("head"), wrong.alias("problem"))
+
+
+def heading_problems(docs: DataFrame, key: str = "norm_id", body: str = "body") -> DataFrame:
+    """What strict parsing objects to: ``norm_id, pos, problem``; 'level' (1 or above 5), 'kind' (a heading that doesn't begin like its level's) or 'text before a heading'."""
+    return _lines(docs, key, body).where("problem is not null").select("norm_id", "pos", "problem")
+
+
+def leaf_units(docs: DataFrame, key: str = "norm_id", body: str = "body", strict: bool = True, raising: bool = False) -> DataFrame:
     """Leaf units of documents with headings of levels 2 to 5: ``norm_id, unit_id, context_path, text, ord``.
 
     Text belongs to the last heading; its path is the document's id and the headings above, a shallower heading ending
     deeper ones. Headings without text give no unit. ``strict`` drops text before any heading and units under headings of
-    other kinds; else such headings are kept. Lines are spread with their place, and each level's heading is filled
-    forward within a document.
+    other kinds; else such headings are kept. ``raising`` lets the query fail at the first of ``heading_problems``, naming
+    it, where nothing may be dropped. Each level's heading is filled forward within a document.
     """
-    line = docs.select(F.col(key).alias("norm_id"), F.posexplode(F.split(F.regexp_replace(F.col(body), r"(?s)<!--.*?-->", ""), "\n")).alias("pos", "raw"))
-    level = F.length(F.regexp_extract("raw", r"^(#{2,5}) \S", 1))
-    head = F.when(level > 0, F.trim(F.regexp_replace("raw", r"^#+ ", "")))
-    lines = line.select("norm_id", "pos", F.trim("raw").alias("line"), F.when(level > 0, level).alias("level"), head.alias("head"))
+    lines = _lines(docs, key, body)
     w = Window.partitionBy("norm_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     cols = {f"p{n}": F.last(F.when(F.col("level") == n, F.col("pos")), True).over(w) for n in range(2, 6)}
     cols |= {f"h{n}": F.last(F.when(F.col("level") == n, F.col("head")), True).over(w) for n in range(2, 6)}
@@ -118,7 +138,11 @@ def leaf_units(docs: DataFrame, key: str = "norm_id", body: str = "body", strict
         shallower = F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"p{m}"), F.lit(-1)) for m in range(2, n)])
         names.append(F.when(F.col(f"p{n}") > shallower, F.col(f"h{n}")))
     path = F.filter(F.array(*names), lambda x: x.isNotNull())
-    texts = filled.withColumn("path", path).where(F.col("level").isNull() & (F.length("line") > 0))
+    is_text = F.col("level").isNull() & (F.length("line") > 0)
+    if raising:
+        said = F.concat(F.lit("line "), (F.col("pos") + 1).cast("string"), F.lit(" of "), F.col("norm_id"), F.lit(": "), F.col("problem"))
+        is_text = F.when(F.col("problem").isNotNull(), F.raise_error(said).cast("boolean")).otherwise(is_text)
+    texts = filled.withColumn("path", path).where(is_text)
     if strict:
         texts = texts.where(F.col("at").isNotNull() & F.get(F.col("path"), F.lit(1)).rlike(r"(?iu)^(?:Điều|Phụ\s*lục)\b"))
     units = texts.groupBy("norm_id", F.coalesce("at", F.lit(-1)).alias("ord")).agg(F.first("path").alias("context_path"), F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))

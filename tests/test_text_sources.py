@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -176,3 +177,14 @@ def test_stream_windows_and_sessions(spark, tmp_path):
     out = traces.run_available(traces.deduplicated(s.union(s), "id", "at"), spark, "dedup", str(tmp_path / "c2"))
     assert out.count() == 13
     assert traces.sessions(e, "at", "k", "30 minutes").agg(F.sum("n")).first()[0] == 13
+
+
+def test_strict_parsing_can_fail_or_report(spark):
+    texts = [("ok", "\n## Điều 1\na\n### Khoản 1\nb"), ("early", "x\n## Điều 1\na"), ("kind", "## Điều 1\na\n### Điều 2\nb"), ("level", "# Điều 1\n## Phụ lục I\na"), ("deep", "## Điều 1\n###### x\nb"), ("none", None), ("empty", "")]
+    df = spark.createDataFrame(texts, "norm_id string, body string").withColumn("problem", F.lit(1))
+    assert rows(documents.heading_problems(df)) == [("deep", 1, "level"), ("early", 0, "text before a heading"), ("kind", 2, "kind"), ("level", 0, "level")]
+    sound = df.where("norm_id in ('ok', 'none', 'empty')")
+    assert rows(documents.leaf_units(sound, raising=True), "norm_id", "text") == [("ok", "a"), ("ok", "b")]
+    for bad in ("early", "kind", "level", "deep"):
+        with pytest.raises(Exception, match=f"of {bad}"):
+            documents.leaf_units(df.where(F.col("norm_id") == bad), raising=True).collect()
