@@ -143,7 +143,7 @@ def copies(question: list[str], answer: list[str]) -> bool:
     return _cost(a, q) <= most and _cost(q, a) <= most
 
 
-def may_copy(question: list[str], answer: str, step: int = 400) -> bool:
+def may_copy(question: list[str], answer: str, step: int = 160) -> bool:
     """False only where an answer can't be a copy: each of its words the question doesn't have costs all its bytes, so with too many of them it isn't one.
 
     The answer is read until there are too many; an answer that is a copy is read to its end.
