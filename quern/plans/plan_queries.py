@@ -266,7 +266,7 @@ m AS (SELECT norm_id, pos, trim(raw, ' ') AS line, length(regexp_extract(raw, '^
 k AS (SELECT *, max(n > 0) OVER (PARTITION BY norm_id ORDER BY pos) AS seen FROM m)"""
 
 
-@query(f"""WITH {_LINES} SELECT * FROM (SELECT norm_id, pos, CASE WHEN n = 1 OR n > 5 THEN 'level' WHEN n = 2 AND NOT regexp_matches(head, '^(Điều|Phụ lục)([^\p{{L}}\p{{N}}_]|$)') OR n = 3 AND NOT regexp_matches(head, '^Khoản([^\p{{L}}\p{{N}}_]|$)')
+@query(rf"""WITH {_LINES} SELECT * FROM (SELECT norm_id, pos, CASE WHEN n = 1 OR n > 5 THEN 'level' WHEN n = 2 AND NOT regexp_matches(head, '^(Điều|Phụ lục)([^\p{{L}}\p{{N}}_]|$)') OR n = 3 AND NOT regexp_matches(head, '^Khoản([^\p{{L}}\p{{N}}_]|$)')
   OR n = 4 AND NOT regexp_matches(head, '^Điểm([^\p{{L}}\p{{N}}_]|$)') OR n = 5 AND NOT regexp_matches(head, '^Tiết([^\p{{L}}\p{{N}}_]|$)') THEN 'kind' WHEN n = 0 AND line <> '' AND NOT seen THEN 'text before a heading' END AS problem FROM k) WHERE problem IS NOT NULL""")
 def heading_problems(spark, sf_dir):
     """What a strict parser of documents objects to in answers."""
